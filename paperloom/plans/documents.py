@@ -1,0 +1,4 @@
+"""Queries over documents."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
