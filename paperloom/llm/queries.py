@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paperloom.session import table
 
-from . import corpus_tokens
+from . import corpus_tokens, leakage, splitting
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +15,51 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p6_ids": p6_ids}
-ORACLE_SQL: dict[str, str] = {}
+def _split_items(spark: SparkSession, sf_dir: str, distinct: bool) -> DataFrame:
+    chats = table(spark, sf_dir, "chat_message").select("message_id", "content")
+    papers = table(spark, sf_dir, "worker_document").select("doc_id", "pages")
+    if distinct:
+        chats = chats.where(F.length("content") > CHAT_LIMIT).dropDuplicates(["message_id"])
+        papers = papers.where("aggregate(pages.text, 0L, (n, t) -> n + coalesce(length(t), 0)) > " + str(PAPER_LIMIT)).dropDuplicates(["doc_id"])
+    return splitting.split_oversized(chats, F.col("message_id"), F.array("content"), CHAT_LIMIT).withColumn("item_table", F.lit("chat_message")).unionByName(
+        splitting.split_oversized(papers, F.col("doc_id"), splitting.pages_in_order(), PAPER_LIMIT).withColumn("item_table", F.lit("worker_document"))
+    )
+
+
+CHAT_LIMIT, PAPER_LIMIT = 4000, 12000
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that the splitter cuts."""
+    return _split_items(spark, sf_dir, distinct=False).where("piece_no = 1").select("item_table", "item_key").distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all oversized items."""
+    return _split_items(spark, sf_dir, distinct=True).select("item_table", "item_key", "piece_no", "start_pos", "end_pos", "boundary", "piece")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 12 or more consecutive words of an item."""
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
+
+
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 12 words of an item with at most one word edit."""
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), max_errors=1).select("doc_id", "item_id", "errors")
+
+
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near}
+ORACLE_SQL: dict[str, str] = {
+    "p5_found": """
+        SELECT DISTINCT 'chat_message' AS item_table, CAST(message_id AS VARCHAR) AS item_key FROM chat_message WHERE length(content) > 4000
+        UNION ALL
+        SELECT DISTINCT 'worker_document', doc_id FROM worker_document
+        WHERE list_sum(list_transform(pages, lambda p: coalesce(length(p.text), 0))) > 12000""",
+    "p7_found": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_item),
+        dg AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+        ig AS (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+}
