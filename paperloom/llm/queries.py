@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.session import table
 
-from . import corpus_tokens, leakage, splitting
+from . import corpus_tokens, leakage, splitting, stuffing
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,12 @@ def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), max_errors=1).select("doc_id", "item_id", "errors")
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are mostly stuffed keywords, links or tags."""
+    return stuffing.stuffed_documents(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found}
 ORACLE_SQL: dict[str, str] = {
     "p5_found": """
         SELECT DISTINCT 'chat_message' AS item_table, CAST(message_id AS VARCHAR) AS item_key FROM chat_message WHERE length(content) > 4000
