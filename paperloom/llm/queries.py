@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.operators.packed_values import split_values
 from paperloom.session import table
 
-from . import corpus_tokens, leakage, splitting, stuffing
+from . import corpus_tokens, leakage, name_links, splitting, stuffing
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,18 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _party_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contracts = split_values(table(spark, sf_dir, "sample_contract"), "contract_id", "parties", out="name").select("name")
+    fixtures = table(spark, sf_dir, "expected_fixture").select(F.explode("parties").alias("name"))
+    rules = table(spark, sf_dir, "house_rules").where("kind = 'party'").select(F.explode(F.array("from_value", "to_value")).alias("name"))
+    return contracts.unionByName(fixtures).unionByName(rules)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of different spellings of one party."""
+    return name_links.linked_pairs(_party_spellings(spark, sf_dir))
+
+
 def _split_items(spark: SparkSession, sf_dir: str, distinct: bool) -> DataFrame:
     chats = table(spark, sf_dir, "chat_message").select("message_id", "content")
     papers = table(spark, sf_dir, "worker_document").select("doc_id", "pages")
@@ -54,7 +67,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffed_documents(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found}
 ORACLE_SQL: dict[str, str] = {
     "p5_found": """
         SELECT DISTINCT 'chat_message' AS item_table, CAST(message_id AS VARCHAR) AS item_key FROM chat_message WHERE length(content) > 4000
