@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.operators.packed_values import split_values
 from paperloom.session import table
 
-from . import corpus_tokens, leakage, name_links, splitting, stuffing
+from . import corpus_tokens, leakage, name_links, personal_data, splitting, stuffing
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,21 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+#: Key of the replacements; a deployment passes its own secret.
+PII_KEY = b"paperloom-example-key"
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All mentions of personal information in the recorded exchanges."""
+    found = personal_data.find_mentions(table(spark, sf_dir, "chat_message"), "message_id", "content")
+    return found.select("message_id", "pii_kind", "start_pos", "end_pos").distinct()
+
+
+def p2_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message with placeholders, and with surrogates, for its personal information."""
+    return personal_data.replaced(table(spark, sf_dir, "chat_message"), "message_id", "content", PII_KEY)
+
+
 def _party_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     contracts = split_values(table(spark, sf_dir, "sample_contract"), "contract_id", "parties", out="name").select("name")
     fixtures = table(spark, sf_dir, "expected_fixture").select(F.explode("parties").alias("name"))
@@ -67,7 +82,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffed_documents(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_replaced": p2_replaced, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found}
 ORACLE_SQL: dict[str, str] = {
     "p5_found": """
         SELECT DISTINCT 'chat_message' AS item_table, CAST(message_id AS VARCHAR) AS item_key FROM chat_message WHERE length(content) > 4000
