@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.operators.packed_values import split_values
 from paperloom.session import table
 
-from . import corpus_tokens, leakage, name_links, personal_data, splitting, stuffing
+from . import corpus_tokens, leakage, name_links, personal_data, scan_repair, splitting, stuffing
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy lines and runs of scanned pages, by kind."""
+    return scan_repair.noise_found(table(spark, sf_dir, "layout_line"), table(spark, sf_dir, "text_run")).distinct()
+
+
+def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired paragraphs of every scanned document."""
+    return scan_repair.paragraphs(table(spark, sf_dir, "layout_line"), table(spark, sf_dir, "text_run"))
+
+
 #: Key of the replacements; a deployment passes its own secret.
 PII_KEY = b"paperloom-example-key"
 
@@ -82,7 +92,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffed_documents(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_replaced": p2_replaced, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p2_replaced": p2_replaced, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found}
 ORACLE_SQL: dict[str, str] = {
     "p5_found": """
         SELECT DISTINCT 'chat_message' AS item_table, CAST(message_id AS VARCHAR) AS item_key FROM chat_message WHERE length(content) > 4000
