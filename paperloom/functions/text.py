@@ -94,22 +94,22 @@ def _capitals(c: Column) -> Column:
     return (letters >= 3) & (F.length(F.regexp_replace(c, r"[^\p{Lu}]", "")) * 10 >= letters * 8)
 
 
-def is_heading_line(c: Column) -> Column:
+def is_heading_line(c: Column, stripped: bool = False) -> Column:
     """At most 90 characters, four fifths of the letters capital, no colon at the end, no long sentence."""
-    s = strip(c)
+    s = c if stripped else strip(c)
     words = F.size(F.split(s, r"[ \t]+"))
     return (s != "") & (F.length(s) <= 90) & ~s.endswith(":") & ~(s.endswith(".") & (words > 6)) & _capitals(s)
 
 
-def is_list_item(c: Column) -> Column:
+def is_list_item(c: Column, stripped: bool = False) -> Column:
     """A bullet, or a marker such as (a), 3) or (iv)."""
-    s = strip(c)
+    s = c if stripped else strip(c)
     return (s.rlike(r"^([•◦▪‣●○■□–]|[-*+] )") & (F.length(s) > 2)) | s.rlike(r"^(?=[^ ]{1,6} )\(*([0-9]{1,2}|[a-z]|[ivx]+)\) ")
 
 
-def is_table_separator(c: Column) -> Column:
+def is_table_separator(c: Column, stripped: bool = False) -> Column:
     """A row of dashes between bars."""
-    return strip(c).rlike(r"^\|?( *:*-{3,}:* *\|)+( *:*-{3,}:* *)?$")
+    return (c if stripped else strip(c)).rlike(r"^\|?( *:*-{3,}:* *\|)+( *:*-{3,}:* *)?$")
 
 
 def is_label(c: Column) -> Column:
@@ -122,28 +122,28 @@ def is_label(c: Column) -> Column:
     )
 
 
-def key_of(c: Column) -> Column:
+def key_of(c: Column, stripped: bool = False) -> Column:
     """The label of a ``Label: value`` line, or null."""
-    s = strip(c)
+    s = c if stripped else strip(c)
     at = F.locate(": ", s)
     key, value = strip(F.substring_index(s, ": ", 1)), strip(F.substring(s, at + 2, F.length(s)))
     return F.when((at > 0) & (value != "") & is_label(key), key)
 
 
-def value_of(c: Column) -> Column:
+def value_of(c: Column, stripped: bool = False) -> Column:
     """The value of a ``Label: value`` line, or null."""
-    s = strip(c)
+    s = c if stripped else strip(c)
     at = F.locate(": ", s)
-    return F.when(key_of(c).isNotNull(), strip(F.substring(s, at + 2, F.length(s))))
+    return F.when(key_of(s, True).isNotNull(), strip(F.substring(s, at + 2, F.length(s))))
 
 
-def line_kind(c: Column) -> Column:
+def line_kind(c: Column, stripped: bool = False) -> Column:
     """Kind of a line, by the first test that fits."""
-    s = strip(c)
+    s = c if stripped else strip(c)
     return (
         F.when(s == "", "blank").when(s.rlike(r"^#{1,6} +[^ ]"), "markdown_heading")
-        .when(s.startswith("|") & is_table_separator(s), "table_separator").when(s.startswith("|"), "table_row")
-        .when(is_list_item(s), "list_item").when(key_of(s).isNotNull(), "key_value").when(is_heading_line(s), "heading").otherwise("text")
+        .when(s.startswith("|") & is_table_separator(s, True), "table_separator").when(s.startswith("|"), "table_row")
+        .when(is_list_item(s, True), "list_item").when(key_of(s, True).isNotNull(), "key_value").when(is_heading_line(s, True), "heading").otherwise("text")
     )
 
 

@@ -11,7 +11,8 @@ from paperloom.functions import text as T
 def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, line_no (from 0), line, kind."""
     out = df.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    return out.withColumn("kind", T.line_kind(F.col("line")))
+    # the stripped line is a column of its own, so that the tests of its kind share it
+    return out.withColumn("bare", T.strip(F.col("line"))).withColumn("kind", T.line_kind(F.col("bare"), stripped=True)).drop("bare")
 
 
 def islands(df: DataFrame, keys: list[str], order: str, change: Column, out: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import ranking, segmentation as S, simhash
 from paperloom.plans.scalars import _HEADING, _KIND, _LINES, TERMS_SQL, documents
-from paperloom.session import table
+from paperloom.session import spread, table
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,13 +94,13 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of each document's text as 16 hexadecimal digits."""
-    f = simhash.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text")
+    f = simhash.fingerprints(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
     return f.select("doc_id", F.when(F.col("fingerprint").isNotNull(), F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))).alias("fingerprint"))
 
 
 def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different fingerprints within six bits."""
-    return simhash.near_classes(simhash.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    return simhash.near_classes(simhash.fingerprints(spread(table(spark, sf_dir, "documents")), "doc_id", "text"), "doc_id")
 
 
 _K2 = f"CASE WHEN {_KIND} IN ('table_row', 'table_separator') THEN 'table' ELSE {_KIND} END"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.session import table
+from paperloom.session import spread, table
 
 _WS = r"[ \t\r\n\x0B\f]+"
 _STRIP = r"regexp_replace({0}, '^[ \t\r\n\x0B\f]+|[ \t\r\n\x0B\f]+$', '', 'g')"
@@ -18,7 +18,7 @@ _LINES = r"(SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS li
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a text."""
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return spread(table(spark, sf_dir, "documents")).where("text IS NOT NULL")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
