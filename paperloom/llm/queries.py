@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators.packed_values import split_values
-from paperloom.session import table
+from paperloom.session import spread, table
 
 from . import corpus_tokens, leakage, name_links, personal_data, scan_repair, splitting, stuffing
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return corpus_tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return corpus_tokens.encode_corpus(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ PII_KEY = b"paperloom-example-key"
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All mentions of personal information in the recorded exchanges."""
-    found = personal_data.find_mentions(table(spark, sf_dir, "chat_message"), "message_id", "content")
+    found = personal_data.find_mentions(spread(table(spark, sf_dir, "chat_message")), "message_id", "content")
     return found.select("message_id", "pii_kind", "start_pos", "end_pos").distinct()
 
 
@@ -79,17 +79,17 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold 12 or more consecutive words of an item."""
-    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
+    return leakage.leaked_items(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
 
 
 def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold 12 words of an item with at most one word edit."""
-    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), max_errors=1).select("doc_id", "item_id", "errors")
+    return leakage.leaked_items(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "eval_item"), max_errors=1).select("doc_id", "item_id", "errors")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are mostly stuffed keywords, links or tags."""
-    return stuffing.stuffed_documents(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+    return stuffing.stuffed_documents(spread(table(spark, sf_dir, "documents"))).select("doc_id").distinct()
 
 
 QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p2_replaced": p2_replaced, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found}
