@@ -358,23 +358,38 @@ def judged_lines(layout_line: DataFrame, text_run: DataFrame) -> DataFrame:
     source = scanned_lines(layout_line, text_run)
     words, pairs, least = corpus_glyphs(source)
     sent = source.sparkSession.sparkContext.broadcast((words, pairs, least))
-    grouped = source.where("doc_id IS NOT NULL AND page IS NOT NULL AND seq IS NOT NULL").groupBy("origin", "doc_id").agg(
-        F.collect_list(F.struct("page", "seq", "x", "y", "block", "text")).alias("rows")
+    # the lines of a document follow each other in one partition, sorted and spilled by the JVM, so a task holds one document at a time
+    sorted_lines = (
+        source.where("doc_id IS NOT NULL AND page IS NOT NULL AND seq IS NOT NULL").repartition("origin", "doc_id")
+        .sortWithinPartitions("origin", "doc_id").select("origin", "doc_id", "page", "seq", "x", "y", "block", "text")
     )
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int32()), pa.string(), pa.string()]
+    names = ["origin", "doc_id", "page", "line", "seqs", "running", "page_number", "hyphen", "misread", "block", "repaired"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         glyphs = Glyphs(*sent.value)
+        at, rows, out = None, [], []
+
+        def judged() -> list[tuple]:
+            return [(*at, *r) for r in judge_document(rows, glyphs)] if rows else []
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
+
         for batch in batches:
-            out = []
-            for at in range(batch.num_rows):
-                origin, doc, rows = (c[at].as_py() for c in batch.columns)
-                out += [(origin, doc, *r) for r in judge_document(rows, glyphs)]
-            columns = list(zip(*out)) if out else [[]] * 11
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int32()), pa.string(), pa.string()]
-            names = ["origin", "doc_id", "page", "line", "seqs", "running", "page_number", "hyphen", "misread", "block", "repaired"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    return grouped.mapInArrow(run, _JUDGED)
+            for origin, doc, page, seq, x, y, block, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (origin, doc) != at:
+                    out += judged()
+                    at, rows = (origin, doc), []
+                    if len(out) > 5000:
+                        yield batch_of(out)
+                        out = []
+                rows.append({"page": page, "seq": seq, "x": x, "y": y, "block": block, "text": text})
+        out += judged()
+        if out:
+            yield batch_of(out)
+
+    return sorted_lines.mapInArrow(run, _JUDGED)
 
 
 def judge_document(rows: list[dict], glyphs: Glyphs) -> list[tuple]:
