@@ -34,7 +34,7 @@ NICKNAMES = {
     "charles": "charlie chuck chas", "christine": "chris tina chrissy", "christopher": "chris kit", "cynthia": "cindy cyndi", "daniel": "dan danny",
     "david": "dave davy", "deborah": "deb debbie debby", "donald": "don donny", "dorothy": "dot dottie dolly dora", "douglas": "doug dougie",
     "edward": "ed eddie ted ned teddy", "eleanor": "nell ellie nora nellie", "elizabeth": "liz beth betty lizzie eliza bess libby", "emily": "em emmy", "frances": "fran fanny",
-    "francis": "frank fran", "frederick": "fred freddie freddy rick", "gabriela": "gabby gabi ella", "george": "georgie", "gerald": "gerry jerry", "gregory": "greg gregg",
+    "francis": "frank fran", "frederick": "fred freddie freddy rick", "gabriela": "gabby gaby gabi ella", "george": "georgie", "gerald": "gerry jerry", "gregory": "greg gregg",
     "harriet": "hattie harri etta", "harold": "harry hal", "henry": "hank harry hal", "imogen": "immy gen immie", "isabella": "bella izzy isa belle", "james": "jim jimmy jamie",
     "janet": "jan", "jennifer": "jen jenny", "john": "jack johnny jon", "jonathan": "jon jonny", "joseph": "joe joey", "josephine": "jo josie posy",
     "katherine": "kate kathy katie kat kay kitty", "kenneth": "ken kenny", "lawrence": "larry laurie lawrie", "leonard": "len lenny leo", "lucille": "lucy lou lu", "margaret": "maggie peg peggy meg marge greta rita",
