@@ -57,6 +57,8 @@ class Field:
     """A field cut at its certain delimiters: texts and whether each was quoted."""
 
     segments: list[tuple[str, bool]] = field(default_factory=list)
+    #: Did a delimiter other than quotes cut the field? Beside quotes alone, commas still part values.
+    hard: bool = False
 
 
 def _closing(text: str, at: int) -> int:
@@ -90,6 +92,7 @@ def certain_cuts(text: str) -> Field:
     while at < len(body):
         if at in begins and (at == 0 or body[at - 1].isspace()):
             out.segments.append((body[start:at], False))
+            out.hard = True
             at = start = begins[at]
             continue
         c = body[at]
@@ -106,6 +109,7 @@ def certain_cuts(text: str) -> Field:
                 continue
         if m := HARD.match(body, at):
             out.segments.append((body[start:at], False))
+            out.hard |= bool(body[start:at].strip()) and bool(body[m.end() :].strip())
             at = start = m.end()
             continue
         at += 1
@@ -289,8 +293,8 @@ def _evidence(values: list[str]) -> Iterator[tuple[str, str]]:
 
 def _certain(text: str) -> tuple[list[tuple[str, bool]], bool]:
     """(segment, whether its uncertain delimiters may be taken as part of a value) of a field, and whether certain delimiters cut it."""
-    segments = [(s, q) for s, q in certain_cuts(text).segments if s.strip()]
-    hard = len(segments) > 1
+    cut = certain_cuts(text)
+    segments, hard = [(s, q) for s, q in cut.segments if s.strip()], cut.hard
     return [(s, q or hard or not uncertain_cuts(s)) for s, q in segments], hard
 
 
@@ -407,8 +411,8 @@ def _cut(source: DataFrame, facts: DataFrame) -> DataFrame:
             ks, values, cuts = [], [], []
             for k, t, found in zip(*(c.to_pylist() for c in batch.columns)):
                 counts = {f["v"]: f["n"] for f in found}
-                segments = certain_cuts(t).segments
-                hard = sum(1 for s, _ in segments if s.strip()) > 1
+                cut = certain_cuts(t)
+                segments, hard = cut.segments, cut.hard
                 out: list[str] = []
                 fates: list[str] = []
                 for segment, quoted in segments:
