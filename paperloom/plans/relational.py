@@ -122,6 +122,33 @@ PAIRS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "date_numeric_order": _both("SELECT folder, date_order FROM " + _ORDER.replace("AS STRING", "AS VARCHAR"), "SELECT folder, date_order FROM " + _ORDER.replace("'^([0-9]", "r'^([0-9]")),
     "date_numeric_reading": _both("SELECT d.contract_id, CASE WHEN CAST(d.a AS INT) > 12 THEN 'day_first' WHEN CAST(d.b AS INT) > 12 THEN 'month_first' ELSE o.date_order END AS reading FROM " + _DATES.replace("AS STRING", "AS VARCHAR") + " d LEFT JOIN " + _ORDER.replace("AS STRING", "AS VARCHAR") + " o ON o.folder = d.folder WHERE d.a <> ''",
         "SELECT d.contract_id, CASE WHEN CAST(d.a AS INT) > 12 THEN 'day_first' WHEN CAST(d.b AS INT) > 12 THEN 'month_first' ELSE o.date_order END AS reading FROM " + _DATES.replace("'^([0-9]", "r'^([0-9]") + " d LEFT JOIN " + _ORDER.replace("'^([0-9]", "r'^([0-9]") + " o ON o.folder = d.folder WHERE d.a <> ''"),
+    # figures of documents and pages
+    "agg_route_class": _both("""SELECT doc_id, CASE max(CASE route WHEN 'ocr' THEN 4 WHEN 'ocr_regions' THEN 3 WHEN 'layout' THEN 2 WHEN 'fast' THEN 1 ELSE 0 END)
+        WHEN 4 THEN 'ocr' WHEN 3 THEN 'ocr_regions' WHEN 2 THEN 'layout' WHEN 1 THEN 'fast' ELSE 'unrouted' END AS route FROM {page_signal} GROUP BY doc_id"""),
+    "agg_mean_confidence": _both("SELECT doc_id, CAST(floor((2 * sum(confidence) + count(confidence)) / (2.0 * count(confidence))) AS INT) AS confidence FROM (SELECT DISTINCT doc_id, page, line_no, confidence FROM {layout_line}) WHERE confidence IS NOT NULL GROUP BY doc_id"),
+    "agg_upper_percentiles": _both("""WITH r AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS k, count(*) OVER (PARTITION BY source) AS n FROM {documents} WHERE n_chars IS NOT NULL)
+        SELECT source, max(n) AS n, min(n_chars) AS least, max(CASE WHEN k = floor(n / 2.0) + 1 THEN n_chars END) AS median, max(n_chars) AS most, CAST(floor(avg(n_chars)) AS BIGINT) AS mean FROM r GROUP BY source"""),
+    "agg_all_distributions": _both("""WITH l AS (SELECT 'chars' AS metric, chars AS value FROM {page_signal} UNION ALL SELECT 'segments', segments FROM {page_signal} UNION ALL SELECT 'image_coverage', image_coverage FROM {page_signal} UNION ALL SELECT 'garbage', garbage FROM {page_signal})
+        SELECT metric, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, max(value) AS most, round(avg(value), 3) AS mean FROM l GROUP BY metric""",
+        """WITH l AS (SELECT stack(4, 'chars', chars, 'segments', segments, 'image_coverage', image_coverage, 'garbage', garbage) AS (metric, value) FROM {page_signal})
+        SELECT metric, count(value) AS n, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.9) WITHIN GROUP (ORDER BY value) AS p90, max(value) AS most, round(avg(value), 3) AS mean FROM l GROUP BY metric"""),
+    "agg_rate_delta": _both("""WITH d AS (SELECT user_id, date_trunc('day', ts) AS at_day, max(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) = 1 AND min(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) = 1 AS clean FROM {events} GROUP BY user_id, date_trunc('day', ts)),
+        j AS (SELECT a.at_day, a.clean AS was, b.clean AS now_clean FROM d a JOIN d b ON a.user_id = b.user_id AND b.at_day = a.at_day + INTERVAL 1 DAY)
+        SELECT at_day, count(*) AS n, sum(CASE WHEN was THEN 1 ELSE 0 END) AS before_clean, sum(CASE WHEN now_clean THEN 1 ELSE 0 END) AS after_clean, sum(CASE WHEN NOT was AND now_clean THEN 1 ELSE 0 END) AS fixed, sum(CASE WHEN was AND NOT now_clean THEN 1 ELSE 0 END) AS broken FROM j GROUP BY at_day"""),
+    "agg_retrieval_buckets": _both("SELECT CASE WHEN n <= 3 THEN '1-3' WHEN n <= 9 THEN '4-9' WHEN n <= 24 THEN '10-24' ELSE '25+' END AS bucket, count(*) AS n FROM " + _PAPERS_DUCK + " GROUP BY 1", "SELECT CASE WHEN n <= 3 THEN '1-3' WHEN n <= 9 THEN '4-9' WHEN n <= 24 THEN '10-24' ELSE '25+' END AS bucket, count(*) AS n FROM " + _PAPERS + " GROUP BY 1"),
+    "agg_warning_counts": _both("SELECT w.code AS code, w.field_affecting AS field_affecting, count(*) AS n FROM (SELECT unnest(warnings) AS w FROM (SELECT DISTINCT ON (doc_id) doc_id, warnings FROM {worker_document})) GROUP BY ALL",
+        "SELECT w.code AS code, w.field_affecting AS field_affecting, count(*) AS n FROM (SELECT any_value(warnings) AS warnings FROM {worker_document} GROUP BY doc_id) LATERAL VIEW explode(warnings) AS w GROUP BY w.code, w.field_affecting"),
+    "window_sheet": _both("""SELECT o_custkey, o_orderkey, total - 10 AS not_shown FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS total FROM {orders}) WHERE k <= 10"""),
+    "window_next_short": _both("SELECT doc_id, page, line_no, CASE WHEN length(following) <= 40 THEN following END AS neighbour FROM (SELECT doc_id, page, line_no, lead(text) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS following FROM (SELECT DISTINCT doc_id, page, line_no, text FROM {layout_line}))"),
+    "join_longest_root": _both("""WITH c AS (SELECT DISTINCT contract_id, source_path FROM {sample_contract}), r AS (SELECT DISTINCT split_part(source_path, '/', 1) AS root FROM c UNION SELECT DISTINCT split_part(source_path, '/', 1) || '/' || split_part(source_path, '/', 2) FROM c)
+        SELECT c.contract_id, max(r.root) AS root FROM c JOIN r ON r.root = split_part(c.source_path, '/', 1) OR r.root = split_part(c.source_path, '/', 1) || '/' || split_part(c.source_path, '/', 2) GROUP BY c.contract_id""",
+        # the roots a path can have are its own prefixes: an equi-join instead of a scan of all roots per path
+        """WITH c AS (SELECT DISTINCT contract_id, source_path FROM {sample_contract}), r AS (SELECT DISTINCT substring_index(source_path, '/', 1) AS root FROM c UNION SELECT DISTINCT substring_index(source_path, '/', 2) FROM c),
+        p AS (SELECT contract_id, explode(array(substring_index(source_path, '/', 1), substring_index(source_path, '/', 2))) AS prefix FROM c) SELECT p.contract_id, max(r.root) AS root FROM p JOIN r ON r.root = p.prefix GROUP BY p.contract_id"""),
+    "join_marked_but_settled": _both("""WITH e AS (SELECT user_id, date_trunc('day', ts) AS at_day, event_type FROM {events}) SELECT DISTINCT a.user_id, a.at_day FROM e a WHERE EXISTS (SELECT 1 FROM e b WHERE b.user_id = a.user_id AND b.at_day = a.at_day AND b.event_type = 'purchase')
+        AND NOT EXISTS (SELECT 1 FROM e c WHERE c.user_id = a.user_id AND c.at_day = a.at_day AND c.event_type = 'signup')"""),
+    "join_awaiting_mark": _both("""WITH n AS (SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM {events} WHERE event_type IN ('purchase', 'signup')) WHERE k = 1)
+        SELECT u.user_id, coalesce(n.event_type, 'none') AS mark FROM (SELECT DISTINCT user_id FROM {events}) u LEFT JOIN n ON n.user_id = u.user_id WHERE coalesce(n.event_type, 'none') <> 'purchase'"""),
 }
 QUERIES = {n: p[0] for n, p in PAIRS.items()}
 ORACLE_SQL = {n: p[1] for n, p in PAIRS.items()}
