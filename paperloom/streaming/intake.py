@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from paperloom.session import checkpoint_dir
+
 
 def event_windows(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """window start, event_type, n, total of a stream (or table) with ``ts``; later events than ``late`` are let go."""
@@ -60,7 +62,7 @@ def files_at_rest(listings: DataFrame, quiet: float = 10.0) -> DataFrame:
 def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """What a stream gives for all input that is there now."""
     name = f"{name}_{uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{checkpoint_dir(stream.sparkSession)}/streams/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
 
