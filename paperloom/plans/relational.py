@@ -122,6 +122,21 @@ PAIRS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "date_numeric_order": _both("SELECT folder, date_order FROM " + _ORDER.replace("AS STRING", "AS VARCHAR"), "SELECT folder, date_order FROM " + _ORDER.replace("'^([0-9]", "r'^([0-9]")),
     "date_numeric_reading": _both("SELECT d.contract_id, CASE WHEN CAST(d.a AS INT) > 12 THEN 'day_first' WHEN CAST(d.b AS INT) > 12 THEN 'month_first' ELSE o.date_order END AS reading FROM " + _DATES.replace("AS STRING", "AS VARCHAR") + " d LEFT JOIN " + _ORDER.replace("AS STRING", "AS VARCHAR") + " o ON o.folder = d.folder WHERE d.a <> ''",
         "SELECT d.contract_id, CASE WHEN CAST(d.a AS INT) > 12 THEN 'day_first' WHEN CAST(d.b AS INT) > 12 THEN 'month_first' ELSE o.date_order END AS reading FROM " + _DATES.replace("'^([0-9]", "r'^([0-9]") + " d LEFT JOIN " + _ORDER.replace("'^([0-9]", "r'^([0-9]") + " o ON o.folder = d.folder WHERE d.a <> ''"),
+    # routes of pages by their signals; the first two pages and the last are key pages
+    "page_routes": _both("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT doc_id, page, max(chars) AS chars, max(image_coverage) AS image_coverage, max(replacement) AS replacement, max(invisible) AS invisible,
+            max(garbage) AS garbage, max(column_count) AS column_count, max(aligned_rows) AS aligned_rows, max(key_value_grid) AS key_value_grid, max(overlap) AS overlap, max(image_region) AS image_region FROM {page_signal} GROUP BY doc_id, page)),
+        q AS (SELECT doc_id, page, garbage, k <= 2 OR k = n AS key_page, (chars < 20 AND image_coverage >= 650) OR (chars < 200 AND image_coverage >= 900) OR replacement > 30 AS needs_ocr, invisible >= 500 AND image_coverage >= 900 AS prior_ocr,
+            CASE WHEN image_region >= 150 AND chars >= 20 THEN 'ocr_regions' WHEN column_count >= 2 OR aligned_rows >= 3 OR key_value_grid >= 2 OR overlap >= 100 THEN 'layout' ELSE 'fast' END AS as_text FROM p)
+        SELECT doc_id, page, key_page, CASE WHEN needs_ocr THEN 'ocr' WHEN prior_ocr AND (garbage >= 40 OR as_text = 'ocr_regions' OR (as_text = 'layout' AND key_page)) THEN 'ocr' ELSE as_text END AS route FROM q"""),
+    # keys that tell repeated blocks: the start and the end of a text with figures masked
+    "duplicate_keys": _both("SELECT doc_id, left(lower(regexp_replace(trim(text), '[0-9]+', '#', 'g')), 80) AS head, CASE WHEN length(regexp_replace(trim(text), '[0-9]+', '#', 'g')) >= 240 THEN right(lower(regexp_replace(trim(text), '[0-9]+', '#', 'g')), 80) END AS tail FROM {documents} WHERE text IS NOT NULL",
+        "SELECT doc_id, left(lower(regexp_replace(trim(text), '[0-9]+', '#')), 80) AS head, CASE WHEN length(regexp_replace(trim(text), '[0-9]+', '#')) >= 240 THEN right(lower(regexp_replace(trim(text), '[0-9]+', '#')), 80) END AS tail FROM {documents} WHERE text IS NOT NULL"),
+    # the last word before a date, but for fillers, labels a deadline
+    "deadline_labels": _both(r"""SELECT doc_id, line_no, regexp_matches(lower(line), '(^|[^a-z0-9])(due|expires|expiration|expiry|renewal|deadline)([^a-z0-9]+(date|on|or|before|by|of))*[^a-z0-9]*[0-9]') AS deadline
+        FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM {documents} WHERE text IS NOT NULL)""",
+        r"""SELECT doc_id, line_no, lower(line) RLIKE r'(^|[^a-z0-9])(due|expires|expiration|expiry|renewal|deadline)([^a-z0-9]+(date|on|or|before|by|of))*[^a-z0-9]*[0-9]' AS deadline
+        FROM {documents} LATERAL VIEW posexplode(split(text, '
+')) AS line_no, line WHERE text IS NOT NULL"""),
     # figures of documents and pages
     "agg_route_class": _both("""SELECT doc_id, CASE max(CASE route WHEN 'ocr' THEN 4 WHEN 'ocr_regions' THEN 3 WHEN 'layout' THEN 2 WHEN 'fast' THEN 1 ELSE 0 END)
         WHEN 4 THEN 'ocr' WHEN 3 THEN 'ocr_regions' WHEN 2 THEN 'layout' WHEN 1 THEN 'fast' ELSE 'unrouted' END AS route FROM {page_signal} GROUP BY doc_id"""),
