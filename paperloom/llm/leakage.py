@@ -129,7 +129,15 @@ class LeakFinder:
     def _least_errors(self, own: list[str], begin: int, words: list[str], at: int) -> int | None:
         """Myers' distance of the best window of the item around a piece hit, if within the budget."""
         k, least, best = self.max_errors, self.min_words, None
-        for first in range(max(0, begin + self.size - least), min(begin, len(own) - least) + 1):
+        lo = max(0, begin + self.size - least)
+        near = set(words[max(0, at - least - k) : at + least + k])
+        # a window within the budget shares all its words but k with the stretch, which rules most hits out
+        shared = [0]
+        for w in own[lo : begin + least]:
+            shared.append(shared[-1] + (w in near))
+        for first in range(lo, min(begin, len(own) - least) + 1):
+            if shared[first - lo + least] - shared[first - lo] < least - k:
+                continue
             ahead = begin - first
             stretch = words[max(0, at - ahead - k) : at + least - ahead + k]
             if len(stretch) < least - k:
