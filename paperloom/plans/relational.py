@@ -54,7 +54,7 @@ PAIRS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         FROM a FULL OUTER JOIN b ON a.id = b.id"""),
     "join_prompt_lookup": _both("""WITH asked AS (SELECT DISTINCT message_id, sha256(coalesce(content, '')) AS prompt FROM {chat_message} WHERE turn_role = 'user'), kept AS (SELECT prompt, min(message_id) AS reply FROM asked WHERE message_id < 20000 GROUP BY prompt)
         SELECT a.message_id, k.reply, k.reply IS NULL AS stale FROM asked a LEFT JOIN kept k ON a.prompt = k.prompt""",
-        """WITH asked AS (SELECT DISTINCT message_id, sha2(coalesce(content, ''), 256) AS prompt FROM {chat_message} WHERE turn_role = 'user'), kept AS (SELECT prompt, min(message_id) AS reply FROM asked WHERE message_id < 20000 GROUP BY prompt)
+        """WITH asked AS (SELECT DISTINCT message_id, sha2(coalesce(content, ''), 256) AS prompt FROM {chat_message} WHERE turn_role = 'user'), kept AS (SELECT prompt, min(message_id) AS reply FROM asked GROUP BY prompt)
         SELECT a.message_id, k.reply, k.reply IS NULL AS stale FROM asked a LEFT JOIN kept k ON a.prompt = k.prompt"""),
     "join_cited_lines": _both(r"""WITH m AS (SELECT DISTINCT message_id, doc_id, content FROM {chat_message} WHERE turn_role = 'assistant' AND content IS NOT NULL), c AS (SELECT DISTINCT message_id, doc_id, unnest(regexp_extract_all(content, '"(p[0-9]+\.b[0-9]+)"', 1)) AS block FROM m),
         l AS (SELECT doc_id, block_id AS block, count(DISTINCT (page, line_no)) AS n FROM {layout_line} GROUP BY ALL) SELECT c.message_id, c.block, l.n FROM c LEFT JOIN l ON l.doc_id = c.doc_id AND l.block = c.block""",
