@@ -2,11 +2,15 @@
 
 Method: trie join. Each spelling is read into its parts: legal form, trade,
 region, numeral and the letters of the name itself, or a person's given and
-family names. Names with equal trade, region and numeral are sharded by their
-first and by their last four letters (two of short names); each shard is a trie that holds every
-name in every order of its words, and each name walks the trie with a
-Levenshtein automaton (adjacent swaps count once) that follows only branches
-within the bound. One edit links; two do if they lie in different parts of the
+family names. Names with equal trade, region and numeral are sharded by length
+and by thirds of their letters (halves of short names), so that two names within
+the bound always share a shard: two edits leave a third intact, at most one place
+away, and a swap across the border of two thirds has a shard of its own. Each
+shard is a trie that holds every name in every order of its words, and each name
+walks the trie with a Levenshtein automaton (adjacent swaps count once) that
+follows only branches within the bound. Names of more than four words have too
+many orders for a trie: they are sharded by their counts of letters, which no
+order changes, and their words are laid along the other name one by one. One edit links; two do if they lie in different parts of the
 name, since names that differ in one syllable are different names. People are
 linked by family name so, and by given name, nickname or initial; an initial is
 linked only if a single person fits. Components of the links are the parties.
@@ -35,8 +39,12 @@ from .names_lexicon import CALLED, GIVEN, LEGAL, NUMERALS, REGIONS, TITLES, TRAD
 
 WORD = re.compile(r"[^\W_]+")
 INNER_DOT = re.compile(r"(?<=\w)\.(?=\w\b)")
-#: Letters at an end of a name that make a shard. One edit leaves one end of a name of at least twice as many letters intact.
-LONG, SHORT = 4, 2
+#: Two edits link names of so many letters, one edit those of LEAST.
+LONG, LEAST = 9, 5
+#: Words of a name whose orders all stand in a trie.
+ORDERED = 4
+#: Two edits change the counts of four letters at most, so one of five classes of letters stays as it is.
+CLASSES = 5
 
 
 def folded(text: str) -> str:
@@ -59,8 +67,8 @@ def trade_of(word: str) -> str | None:
     return None
 
 
-def read_name(spelling: str) -> tuple[str, str, str, list[str]] | None:
-    """(block, key, given name, letters in every word order) of a spelling; the block of people is ``p``."""
+def read_name(spelling: str) -> tuple[str, str, str, list[str], list[str]] | None:
+    """(block, key, given name, letters in every word order, words of a name with too many orders) of a spelling; the block of people is ``p``."""
     flat = folded(spelling)
     words = WORD.findall(flat)
     if words and words[0] == "the" and len(words) > 1:
@@ -87,15 +95,14 @@ def read_name(spelling: str) -> tuple[str, str, str, list[str]] | None:
         if not letters:
             return None
         block = "c|" + "|".join("+".join(sorted(x)) for x in (trades, regions, numerals))
-        if len(core) > 4:  # too many orders: the sorted one stands for all
-            letters = "".join(sorted(core))
-            return block, letters, "", [letters]
-        return block, letters, "", list(dict.fromkeys("".join(o) for o in permutations(core)))
+        if len(core) > ORDERED:
+            return block, letters, "", [letters], sorted(core)
+        return block, letters, "", list(dict.fromkeys("".join(o) for o in permutations(core))), []
     people = [w for w in words if w not in TITLES or len(w) == 1]
     if not people:
         return None
     if len(people) == 1:
-        return "p", people[0], "", [people[0]]
+        return "p", people[0], "", [people[0]], []
     head, comma, tail = flat.partition(",")
     if comma and tail.strip():
         family = [w for w in WORD.findall(head) if w not in TITLES]
@@ -107,7 +114,7 @@ def read_name(spelling: str) -> tuple[str, str, str, list[str]] | None:
     letters = "".join(family)
     if not letters or not first:
         return None
-    return "p", letters, first[0], [letters]
+    return "p", letters, first[0], [letters], []
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -186,8 +193,8 @@ def same_letters(a: str, b: str, edits: int) -> bool:
     if edits == 0:
         return True
     if edits == 1:
-        return min(len(a), len(b)) >= 5
-    if min(len(a), len(b)) < 9:
+        return min(len(a), len(b)) >= LEAST
+    if min(len(a), len(b)) < LONG:
         return False
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
@@ -198,6 +205,79 @@ def same_letters(a: str, b: str, edits: int) -> bool:
     return max(len(a), len(b)) - lo - hi >= 5
 
 
+def orders_within(words: list[str], text: str, most: int) -> Iterator[tuple[str, int]]:
+    """(letters, distance) of the orders of words that are within ``most`` edits of a text.
+
+    Words are laid one by one; an order is left as a branch of a trie is.
+    """
+    far = [most + 1] * (len(text) + 1)
+    stack = [("", sorted(words), far, list(range(len(text) + 1)))]
+    while stack:
+        done, rest, before, row = stack.pop()
+        if not rest:
+            if row[-1] <= most:
+                yield done, row[-1]
+            continue
+        for k, word in enumerate(rest):
+            if k and rest[k - 1] == word:
+                continue
+            made, last, now = done, before, row
+            for c in word:
+                new = [now[0] + 1]
+                for j, y in enumerate(text, 1):
+                    v = min(now[j - 1] + (c != y), now[j] + 1, new[-1] + 1)
+                    if j > 1 and made[-1:] == y and c == text[j - 2]:
+                        v = min(v, last[j - 2] + 1)
+                    new.append(v)
+                made, last, now = made + c, now, new
+                if min(now) > most and min(last) >= most:
+                    break
+            else:
+                stack.append((made, rest[:k] + rest[k + 1 :], last, now))
+
+
+def held_shards(text: str) -> set[str]:
+    """Shards whose trie holds a text: its parts, and those that a swap across their border makes."""
+    n, out = len(text), set()
+    if n < LEAST:
+        return {f"1|{text}"}
+    if n >= LONG:
+        a = (n + 1) // 3
+        b = n - a
+        out |= {f"3|{n}|f|{text[:a]}", f"3|{n}|f|{text[: a - 1]}{text[a]}", f"3|{n}|m|{text[a:b]}", f"3|{n}|l|{text[b:]}", f"3|{n}|l|{text[b - 1]}{text[b + 1 :]}"}
+    if n <= LONG:
+        a = n // 2
+        out |= {f"2|{n}|f|{text[:a]}", f"2|{n}|f|{text[: a - 1]}{text[a]}", f"2|{n}|l|{text[a:]}"}
+    return out
+
+
+def walked_shards(text: str) -> set[str]:
+    """Shards that a text walks: they hold every text that ``same_letters`` may link to it.
+
+    The first part stands at the start and the last at the end, or else one edit
+    lies on either side of the middle, which is then at most one place away.
+    """
+    m, out = len(text), set()
+    if m < LEAST:
+        return {f"1|{text}"}
+    for n in range(max(LEAST, m - 1), m + 2) if m <= LONG else ():
+        if min(n, m) < LONG:
+            a = n // 2
+            out |= {f"2|{n}|f|{text[:a]}", f"2|{n}|l|{text[m - n + a :]}"}
+    for n in range(max(LONG, m - 2), m + 3) if m >= LONG else ():
+        a = (n + 1) // 3
+        b = n - a
+        out |= {f"3|{n}|f|{text[:a]}", f"3|{n}|l|{text[m - a :]}"}
+        out |= {f"3|{n}|m|{text[a + d : b + d]}" for d in (-1, 0, 1) if abs(m - n - d) <= 1}
+    return out
+
+
+def letter_shards(text: str, length: int) -> set[str]:
+    """Shards by the letters of each class, in alphabetic order; of a text and those of ``length`` letters within two edits, one at least is shared."""
+    letters = sorted(text)
+    return {f"w|{length}|{k}|{''.join(c for c in letters if ord(c) % CLASSES == k)}" for k in range(CLASSES)}
+
+
 def given_fits(a: str, b: str) -> str:
     """``same``, ``initial`` or nothing, for two given names."""
     if a == b:
@@ -224,11 +304,32 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for s in batch.column(0).to_pylist():
             if read := read_name(s):
-                block, key, given, orders = read
-                rows.append((s, f"{block}\x1f{key}\x1f{given}", block, key, given, orders))
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        kinds = [pa.string()] * 5 + [pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["name", "node", "block", "key", "given", "orders"])
+                block, key, given, orders, words = read
+                rows.append((s, f"{block}\x1f{key}\x1f{given}", block, key, given, orders, words))
+        columns = list(zip(*rows)) if rows else [[]] * 7
+        kinds = [pa.string()] * 5 + [pa.list_(pa.string())] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["name", "node", "block", "key", "given", "orders", "words"])
+
+
+_SHARDED = "shard string, node string, key string, given string, letters string, walks boolean, held boolean, words array<string>"
+
+
+def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shards that hold or are walked by each entry; ``by_words`` entries go to those of names with too many orders."""
+    names = [f.split()[0] for f in _SHARDED.split(", ")]
+    kinds = [pa.string()] * 5 + [pa.bool_()] * 2 + [pa.list_(pa.string())]
+    for batch in batches:
+        rows = []
+        for node, key, given, letters, own, block, words, by_words in zip(*(c.to_pylist() for c in batch.columns)):
+            n = len(letters)
+            if by_words:
+                held = letter_shards(letters, n) if words else set()
+                walked = {s for m in range(n - 2, n + 3) for s in letter_shards(letters, m)} if own else set()
+            else:
+                held, walked = held_shards(letters), walked_shards(letters) if own else set()
+            rows += [(f"{block}|{s}", node, key, given, letters, s in walked, s in held, words if by_words else []) for s in held | walked]
+        for at in range(0, len(rows), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 20_000]), kinds)], names=names)
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,15 +337,21 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard, rows, out = None, [], []
 
     def close() -> None:
-        if len({r[0] for r in rows}) < 2:
+        if len({r[0] for r in rows}) < 2 or not any(r[4] for r in rows):
             return
-        trie = Trie()
-        for node, _, given, letters, _ in rows:
-            trie.add(letters, (node, given, letters))
-        for node, key, given, letters, own in rows:
-            if not own:
+        trie, wordy = Trie(), []
+        for node, _, given, letters, _, held, words in rows:
+            if words and held:
+                wordy.append((node, given, words))
+            elif held:
+                trie.add(letters, (node, given, letters))
+        for node, key, given, letters, walks, _, _ in rows:
+            if not walks:
                 continue
-            for (other, other_given, text), edits in trie.within(letters, 2):
+            most = 2 if len(letters) >= LONG else 1
+            near = list(trie.within(letters, most)) if trie.root else []
+            near += [((other, other_given, text), edits) for other, other_given, words in wordy if other != node for text, edits in orders_within(words, letters, most)]
+            for (other, other_given, text), edits in near:
                 if other == node or not same_letters(letters, text, edits):
                     continue
                 fit = "same" if not key else given_fits(given, other_given)
@@ -296,18 +403,18 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
 def parties(spellings: DataFrame) -> DataFrame:
     """name, party of each distinct spelling in the column ``name``; the party is a key that its spellings share."""
     names = spellings.select(F.regexp_replace("name", r"^\s+|\s+$", "").alias("name")).where(F.length("name") > 0).distinct()
-    read = checkpointed(names.mapInArrow(_parsed, "name string, node string, block string, key string, given string, orders array<string>"))
+    read = checkpointed(names.mapInArrow(_parsed, "name string, node string, block string, key string, given string, orders array<string>, words array<string>"))
     nodes = read.select("node").distinct()
     # spellings with and without blanks share a node, but only some know the words to reorder
     entries = read.select(
-        "node", F.when(F.col("block") == "p", "key").otherwise("").alias("key"), "given", F.explode("orders").alias("letters"), F.col("key").alias("own"), "block"
-    ).select("node", "key", "given", "letters", (F.col("letters") == F.col("own")).alias("own"), "block").distinct()
+        "node", F.when(F.col("block") == "p", "key").otherwise("").alias("key"), "given", F.explode("orders").alias("letters"), F.col("key").alias("own"), "block", "words"
+    ).select("node", "key", "given", "letters", (F.col("letters") == F.col("own")).alias("own"), "block", "words").distinct()
+    # shards of names with too many orders: walked by the names of their block and length only
     n = F.length("letters")
-    # names of seven and eight letters meet shorter ones as well as longer ones
-    sizes = F.when(n <= 2 * LONG - 2, F.array(F.lit(SHORT))).when(n <= 2 * LONG, F.array(F.lit(SHORT), F.lit(LONG))).otherwise(F.array(F.lit(LONG)))
-    ends = F.flatten(F.transform(sizes, lambda k: F.array(F.concat(F.lit("f"), F.substring("letters", F.lit(1), k)), F.concat(F.lit("l"), F.right("letters", k)))))
-    shards = entries.select(F.explode(F.transform(ends, lambda e: F.concat_ws("|", "block", e))).alias("shard"), "node", "key", "given", "letters", "own")
-    links = checkpointed(shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(_links, "a string, b string, fit string").distinct())
+    reach = entries.where(F.size("words") > 0).select("block", F.explode(F.sequence(n - 2, n + 2)).alias("n")).distinct()
+    by_words = entries.where("own").withColumn("n", n).join(reach, ["block", "n"], "left_semi").select(*entries.columns)
+    sharded = entries.withColumn("by_words", F.lit(False)).unionByName(by_words.withColumn("by_words", F.lit(True))).mapInArrow(_sharded, _SHARDED)
+    links = checkpointed(sharded.repartition("shard").sortWithinPartitions("shard").mapInArrow(_links, "a string, b string, fit string").distinct())
     sure = components(links.where("fit = 'same'"))
     party = nodes.select("node").join(sure, "node", "left").select("node", F.coalesce("root", "node").alias("party"))
     # an initial joins the one party that it fits
