@@ -137,6 +137,19 @@ def edge_noise(pages: dict[int, list[str]]) -> dict[tuple[int, int], str]:
     return out
 
 
+def read_from(word: str, original: str) -> bool:
+    """Can confusions of glyphs, however many, turn an original into a word?"""
+    reached = {(0, 0)}
+    for i in range(len(word)):
+        for k in [k for at, k in reached if at == i]:
+            if original[k : k + 1] == word[i]:
+                reached.add((i + 1, k + 1))
+            for seen in (word[i], word[i : i + 2]):
+                if seen in READ_AS and original[k : k + 1] == READ_AS[seen]:
+                    reached.add((i + len(seen), k + 1))
+    return (len(word), len(original)) in reached
+
+
 class Glyphs:
     """Judges words by the frequent words and neighbours of a corpus."""
 
@@ -145,7 +158,11 @@ class Glyphs:
         self.by_length: dict[int, list[str]] = defaultdict(list)
         for w in words:
             self.by_length[len(w)].append(w)
+        self.by_skeleton: dict[str, list[str]] = defaultdict(list)
+        for w in words:
+            self.by_skeleton[skeleton(w)].append(w)
         self.judged = lru_cache(maxsize=200_000)(self._judge)
+        self.options = lru_cache(maxsize=200_000)(self._options)
 
     def originals(self, word: str) -> set[str]:
         """Words whose misreading, once or twice, gives this one; signs are read back first."""
@@ -169,6 +186,20 @@ class Glyphs:
         out.discard(word)
         return out
 
+    def _options(self, word: str) -> frozenset[str]:
+        """Known words whose misreading gives a word of letters: those of its skeleton with any number of confusions, others with two."""
+        found = {w for w in self.originals(word) if w in self.words}
+        return frozenset(found.union(w for w in self.by_skeleton.get(skeleton(word), ()) if w != word and read_from(word, w)))
+
+    def doubtful(self, word: str) -> bool:
+        """Must neighbours say which word this is?"""
+        options = self.options(word)
+        return len(options) > 1 or bool(options) and word in self.words
+
+    def sides(self, word: str, before: str, after: str) -> tuple[int, int]:
+        """How often a word follows the one before, and is followed by the one after."""
+        return self.pairs.get(f"{before} {word}", 0), self.pairs.get(f"{word} {after}", 0)
+
     def best(self, word: str, before: str, after: str) -> tuple[str, int]:
         """The original that neighbours and frequency support best, and its count."""
         if LOST in word:
@@ -188,8 +219,9 @@ class Glyphs:
 
     def judge(self, token: str, before: str = "", after: str = "") -> tuple[bool, str]:
         """(is a character misread, the token as printed) of a word between its neighbours."""
-        if PLAIN.match(token.strip(".,;:!?").lower()) and len(token) > 4:
-            before = after = ""
+        word = token.strip(".,;:!?").lower()
+        if PLAIN.match(word) and len(token) > 4 and not self.doubtful(word):
+            before = after = ""  # whatever the neighbours, so that the cache holds the word once
         return self.judged(token, before, after)
 
     def _judge(self, token: str, before: str, after: str) -> tuple[bool, str]:
@@ -210,13 +242,19 @@ class Glyphs:
         if not PLAIN.match(low) or word.isupper() or len(low) < 2:
             return False, token
         own = self.known(low)
-        found, n = "", 0
         head = low[:1] if word[0].isupper() else ""
-        options = {w for w in self.originals(low) if w in self.words and w.startswith(head)}
-        if options:
-            found = max(options, key=lambda w: (self.pairs.get(f"{before} {w}", 0) + self.pairs.get(f"{w} {after}", 0), self.words[w], w))
-            n = self.words[found]
-        if n < max(2 * self.least, RATIO * own):
+        options = [w for w in self.options(low) if w.startswith(head) and self.words[w] >= 2 * self.least]
+        if not options:
+            return False, token
+        found = max(options, key=lambda w: (sum(self.sides(w, before, after)), self.words[w], w))
+        n = self.words[found]
+        if own and len(low) > 3:
+            # a known word: it stays where its neighbours know it better, and goes where both know only the original
+            left, right = self.sides(found, before, after)
+            with_own = sum(self.sides(low, before, after))
+            if with_own > left + right or n < RATIO * own and not (left and right and left + right > RATIO * with_own):
+                return False, token
+        elif n < RATIO * own:
             return False, token
         if len(low) <= 3 and (own or before or after):
             # short words look alike: their neighbours must know the original, and not this one
@@ -442,7 +480,8 @@ def judge_document(rows: list[dict], glyphs: Glyphs) -> list[tuple]:
             after = tokens[k + 1][0].strip(".,;:").lower() if k + 1 < len(tokens) else ""
             if k == len(tokens) - 1 and how:
                 stem = t[:-1]
-                bad, fixed = glyphs.judge(whole)
+                rest_of = lines[following[n]]["text"].split()
+                bad, fixed = glyphs.judge(whole, before, rest_of[1].strip(".,;:").lower() if len(rest_of) > 1 and rest_of[0] == _tail_of(rest_of[0]) else "")
                 here, rest = _shares(stem, whole, bad, fixed)
                 if here:
                     wrong.add(seq)
