@@ -46,6 +46,8 @@ LETTERS = re.compile(r"[^\W\d_]")
 PLAIN = re.compile(r"[a-z]+(?:[-’'][a-z]+)*$")
 CODE = re.compile(r"[/=\\]|\w\.\w|://|^www\.")
 EDGE_LINES = 3
+#: Pages on which a running line returns, whatever the length of the document.
+RETURNS = 3
 HEADING = r"^(?:\d{1,3}(?:\.\d{1,3})*\.?\s+)?[^a-z.;,!?]{4,}$|^\d{1,3}\.\s+(?:[A-Z][\w’'-]*\s?){1,6}$"
 
 
@@ -86,20 +88,24 @@ def edge_noise(pages: dict[int, list[str]]) -> dict[tuple[int, int], str]:
     for p, lines in pages.items():
         n = len(lines)
         edges[p] = list(range(min(EDGE_LINES, n))), list(range(n - 1, max(-1, n - 1 - EDGE_LINES), -1))
-    shapes: dict[str, set[int]] = defaultdict(set)
+    shapes: dict[str, set[tuple[int, int]]] = defaultdict(set)
     numbers: dict[tuple[int, int], tuple[int, bool]] = {}
     for p, sides in edges.items():
-        for side in sides:
-            for depth, k in enumerate(side):
+        for end, side in enumerate(sides):
+            for k in side:
                 if (v := page_value(pages[p][k])) is not None:
                     numbers[p, k] = v
-                elif depth < 2 and (s := skeleton(pages[p][k])) and len(s) >= 3:
-                    shapes[s].add(p)
-    least = max(3, len(pages) // 10)
-    strong = {s for s, at in shapes.items() if len(at) >= least}
+                elif len(s := skeleton(pages[p][k])) >= 3:
+                    shapes[s].add((p, end))
+    often = max(RETURNS, len(pages) // 10)
+
+    def returns(at: set[tuple[int, int]]) -> bool:
+        """Does a shape return at one end of the page, or often enough at either?"""
+        return max(Counter(end for _, end in at).values()) >= RETURNS or len({p for p, _ in at}) >= often
+
     # shapes that differ by a misread character or two are one
-    if len(pages) >= 3:
-        ordered = sorted(shapes, key=lambda s: (-len(shapes[s]), s))
+    if len(pages) >= RETURNS:
+        ordered = sorted(shapes, key=lambda s: (-len({p for p, _ in shapes[s]}), s))
         by_length: dict[int, list[str]] = defaultdict(list)
         groups: dict[str, str] = {}
         for s in ordered:
@@ -109,10 +115,10 @@ def edge_noise(pages: dict[int, list[str]]) -> dict[tuple[int, int], str]:
             groups[s] = near or s
             if near is None:
                 by_length[len(s)].append(s)
-        pages_of: dict[str, set[int]] = defaultdict(set)
+        places_of: dict[str, set[tuple[int, int]]] = defaultdict(set)
         for s, h in groups.items():
-            pages_of[h] |= shapes[s]
-        strong = {s for s, h in groups.items() if len(pages_of[h]) >= least}
+            places_of[h] |= shapes[s]
+        strong = {s for s, h in groups.items() if returns(places_of[h])}
     else:
         strong = set()
     offsets = Counter(v - p for (p, _), (v, _) in numbers.items())
