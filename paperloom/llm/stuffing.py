@@ -1,19 +1,32 @@
 """Pages of stuffed keywords, link lists and tags.
 
-Method: pointwise mutual information of neighbouring words from corpus counts.
-A first pass counts in how many documents each word and each pair of neighbours
-stands. A second pass reads every document block by block (paragraphs, short
-ones joined) and takes the mean PMI of the block's neighbours and the share of
-them that repeat an earlier pair of the block. Word salad has a low mean PMI:
-its words meet by chance. Stuffing repeats its collocations beyond what prose
-does. Links and tags count as one word each, so lists of them are repeated
-collocations, too. A document is found if such blocks hold more than half of
-its characters.
-
-Counts cover all documents. They are kept in a count-min sketch of fixed width,
-so what is gathered and broadcast (``COUNTERS`` counters of 4 bytes at most)
-doesn't grow with the corpus; a count is too high only where a rarer pair shares
-its counter with others in both rows.
+Method: mean pointwise mutual information of neighbouring words, from counts of
+the whole corpus. For neighbours a, b of a block (a paragraph; short ones are
+joined) it is log P(b | a) / P(b): how much likelier b is after a, by the counts
+of all other documents, than b is in the block at all. Words of a language lead
+to one another, so prose, schedules and name lists score high in whatever order
+of topics they come. Words thrown together score as their block shuffled: about
+zero or less. Two tests stand on it:
+
+* salad: the mean is far below zero, or it is low within the segments of a block
+  (between commas, bars, bullets and line ends), too, and most words or many
+  neighbours return in the block;
+* repeated collocations: half of the neighbours repeat an earlier pair and the
+  mean is no higher than that of the shuffled block. Repeated sentences of prose
+  are spared since their words lead to one another.
+
+Links and tags are words of two classes in these counts; a word beside one counts
+as the same collocation whatever the word. Numbers take no part. A pair whose
+second word is seen less than ``RARE`` times elsewhere is no evidence and counts
+zero, and counts are shrunk to the shuffled block by ``PRIOR`` sightings.
+A document is found if such blocks hold more than half of its characters.
+
+Scale. Texts are read once into word ids. Documents go to chunks by a hash; each
+chunk sends the counts of its distinct words and pairs, they are summed by pair
+(at most one row a chunk, so no pair is hot), and each chunk gets the sums of
+its own pairs back. Nothing is broadcast or sent to the driver, and all counts
+are exact for word ids of 30 bits. ``chunks`` sets how many chunks there are; a
+chunk's ids and counts must fit in a task.
 
 Defined results: null, empty, blank and wordless texts are never found; repeated
 documents are each judged alike; an empty table gives no rows; only the id and
@@ -33,23 +46,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD_WIDTH, PAIR_WIDTH, PAIR_DEPTH = 1 << 20, 1 << 22, 2
-COUNTERS = WORD_WIDTH + PAIR_DEPTH * PAIR_WIDTH
-#: Ids of the classes that stand for all numbers, links and tags.
-NUMBER, LINK, TAG = 0, 1, 2
+#: Ids of the classes that stand for all numbers, links and tags, and for any word beside a link or tag.
+NUMBER, LINK, TAG, ANY = 0, 1, 2, 3
+#: In a document's ids: the end of a segment; ``BLOCK`` less its characters begins a block.
+CUT, BLOCK = -1, -2
+#: In place of the second word of a pair: the count of the first by itself.
+ALONE = (1 << 32) - 1
 CACHE_TOKENS = 400_000
+RARE, PRIOR = 30, 5.0
+#: Paragraphs shorter than this are judged together; blocks of fewer words aren't judged.
+SHORT, LEAST_WORDS = 60, 4
+#: Mean information of salad by itself; at most that of a shuffled block, as a whole and within segments.
+SALAD, SHUFFLED, IN_SEGMENTS = -1.0, 0.15, 0.3
+#: Shares of neighbours and of words that repeat earlier ones of the block.
+MANY, MOST_PAIRS, MOST_WORDS = 0.15, 0.5, 0.5
 
 URL = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]|,;]+|[a-z0-9-]+(?:\.[a-z0-9-]+)+/[^\s\"'<>)\]|,;]*", re.I)
 PART = re.compile(r"\x01|#[^\W_][\w-]*|[^\W\d_]+(?:_[^\W_]+[\w-]*)+|[^\W\d_]+|\d[\d.,/:-]*")
 BLANK_LINES = re.compile(r"\r?\n[^\S\n]*\r?\n\s*|\r[^\S\r\n]*\r\s*")
+LINE_ENDS = re.compile(r"[\r\n]+")
 HAS_LETTER, HAS_FIGURE = re.compile(r"[^\W\d_]"), re.compile(r"\d")
-CUT = re.compile(r"(?<=[.!?])\s+|[\n|•]+")
-#: Paragraphs shorter than this are judged together.
-SHORT = 60
+ENDS_SEGMENT = re.compile(r"[.!?,;|•/]$")
 
 
 def _word_id(word: str) -> int:
-    return 3 + zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % (1 << 30)
+    return 4 + zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % (1 << 30)
 
 
 def _part_id(w: str) -> int:
@@ -64,155 +85,183 @@ class Words:
     """Word ids of texts; white-space tokens seen before are looked up."""
 
     def __init__(self) -> None:
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"\x02": array("i", [CUT]).tobytes()}
 
     def _token(self, token: str) -> bytes:
-        ids = array("i")
         plain = token.strip(".,;:()|\"'!?-/•")
         if plain.isalpha():  # most tokens are one word
-            return array("i", [_word_id(plain)]).tobytes()
-        if "#" not in token and not HAS_LETTER.search(token):
-            return array("i", [NUMBER] if HAS_FIGURE.search(token) else []).tobytes()
-        if "/" not in token and "." not in token:
-            return array("i", [_part_id(w) for w in PART.findall(token)]).tobytes()
-        for w in PART.findall(URL.sub(" \x01 ", token)):
-            ids.append(_part_id(w))
-        return ids.tobytes()
-
-    def of(self, text: str) -> np.ndarray:
-        """Ids of the words of a text, in order."""
-        tokens, known = text.split(), self.known
+            ids = [_word_id(plain)]
+        elif "#" not in token and not HAS_LETTER.search(token):
+            ids = [NUMBER] if HAS_FIGURE.search(token) else []
+        elif "/" not in token and "." not in token:
+            ids = [_part_id(w) for w in PART.findall(token)]
+        else:
+            ids = [_part_id(w) for w in PART.findall(URL.sub(" \x01 ", token))]
+        if ENDS_SEGMENT.search(token) and ids[-1:] != [LINK]:
+            ids.append(CUT)
+        return array("i", ids).tobytes()
+
+    def of(self, text: str) -> bytes:
+        """Ids of the words of a text, in order, with the ends of its segments."""
+        tokens, known = LINE_ENDS.sub(" \x02 ", text).split(), self.known
         try:
-            return np.frombuffer(b"".join(map(known.__getitem__, tokens)), np.int32)
+            return b"".join(map(known.__getitem__, tokens))
         except KeyError:
             if len(known) > CACHE_TOKENS:
-                known.clear()
+                self.__init__()
+                known = self.known
             for t in set(tokens).difference(known):
                 known[t] = self._token(t)
-            return np.frombuffer(b"".join(map(known.__getitem__, tokens)), np.int32)
+            return b"".join(map(known.__getitem__, tokens))
+
+    def document(self, text: str) -> bytes:
+        """Ids of a text with the sizes of its blocks."""
+        out: list[bytes] = []
+        for block in blocks(text):
+            out += (array("i", [BLOCK - len(block)]).tobytes(), self.of(block))
+        return b"".join(out)
+
+
+def blocks(text: str) -> Iterator[str]:
+    """Paragraphs, runs of short ones as one."""
+    short: list[str] = []
+    for p in BLANK_LINES.split(text):
+        if len(p) < SHORT:
+            short.append(p)
+            continue
+        if short:
+            yield "\n".join(short)
+            short = []
+        yield p
+    if short:
+        yield "\n".join(short)
 
 
 @lru_cache(maxsize=1)
 def worker_words() -> Words:
-    """The words a worker process has seen, kept from one pass to the next."""
+    """The words a worker process has seen, kept from one task to the next."""
     return Words()
 
 
-def pair_keys(ids: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each two neighbours."""
-    return (ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:].astype(np.uint64)
+class Read:
+    """The words, neighbours and blocks of documents, as arrays over all of them."""
+
+    def __init__(self, documents: list[bytes]):
+        ids = np.frombuffer(b"".join(documents), np.int32)
+        lengths = np.fromiter((len(d) // 4 for d in documents), np.int64, len(documents))
+        starts = ids <= BLOCK
+        at = np.flatnonzero(ids >= 0)
+        self.sizes = (BLOCK - ids[starts]).astype(np.int64)
+        self.block_document = np.repeat(np.arange(len(documents)), lengths)[starts]
+        self.words = ids[at].astype(np.int64)
+        self.block = (np.cumsum(starts) - 1)[at]
+        self.document = self.block_document[self.block] if len(at) else at
+        plain = self.words != NUMBER
+        self.first = np.flatnonzero((self.block[:-1] == self.block[1:]) & plain[:-1] & plain[1:]) if len(at) > 1 else at[:0]
+        self.within = np.diff(at)[self.first] == 1 if len(at) > 1 else np.zeros(0, bool)
+        self.pairs = (self.words[self.first] << 32) | self.words[self.first + 1] if len(self.first) else self.first
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words and pairs with their numbers."""
+        words, n_words = np.unique(self.words[self.words != NUMBER], return_counts=True)
+        pairs, n_pairs = np.unique(self.pairs, return_counts=True)
+        return np.concatenate([(words << 32) | ALONE, pairs]), np.concatenate([n_words, n_pairs])
+
+    def stuffed(self, keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """Which blocks are stuffed, by the corpus counts (sorted by key) of all words and pairs that stand here."""
+        n_blocks = len(self.sizes)
+        length = np.bincount(self.block, minlength=n_blocks)
+        if not len(self.first):
+            return np.zeros(n_blocks, bool)
+        alone = np.searchsorted(keys, (self.words << 32) | ALONE)
+        alone[self.words == NUMBER] = 0
+        of_words = totals[alone] - _same(self.document, alone)
+        in_block = _same(self.block, alone)
+        a, b = self.first, self.first + 1
+        pair = np.searchsorted(keys, self.pairs)
+        together = totals[pair] - _same(self.document[a], pair)
+        block = self.block[a]
+        information = np.log((together * length[block] / in_block[b] + PRIOR) / (of_words[a] + PRIOR))
+        information[of_words[b] < RARE] = 0.0
+        n = np.maximum(1, np.bincount(block, minlength=n_blocks))
+        mean = np.bincount(block, information, n_blocks) / n
+        in_segments = np.bincount(block, information * self.within, n_blocks) / n
+        left, right = self.words[a], self.words[b]
+        mark_left, mark_right = (left == LINK) | (left == TAG), (right == LINK) | (right == TAG)
+        left, right = np.where(mark_right & ~mark_left, ANY, left), np.where(mark_left & ~mark_right, ANY, right)
+        repeats = (np.bincount(block, minlength=n_blocks) - _distinct(block, (left << 32) | right, n_blocks)) / np.maximum(1, length - 1)
+        plain = self.words != NUMBER
+        returning = (np.bincount(self.block[plain], minlength=n_blocks) - _distinct(self.block[plain], self.words[plain], n_blocks)) / np.maximum(1, length)
+        salad = (mean < SALAD) | ((mean < SHUFFLED) & (in_segments < IN_SEGMENTS) & ((repeats >= MANY) | (returning >= MOST_WORDS)))
+        return (length >= LEAST_WORDS) & (salad | ((mean < SHUFFLED) & (repeats >= MOST_PAIRS)))
+
+    def shares(self, keys: np.ndarray, totals: np.ndarray, documents: int) -> np.ndarray:
+        """Share of each document's characters that stands in stuffed blocks."""
+        bad = np.bincount(self.block_document, self.sizes * self.stuffed(keys, totals), documents)
+        return bad / np.maximum(1, np.bincount(self.block_document, self.sizes, documents))
+
+
+def _same(group: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each place, how often its key stands in its group."""
+    _, at, n = np.unique((group.astype(np.int64) << 32) | key, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _distinct(group: np.ndarray, key: np.ndarray, groups: int) -> np.ndarray:
+    """Number of distinct keys of each group."""
+    order = np.argsort(key, kind="stable")
+    order = order[np.argsort(group[order], kind="stable")]
+    g, k = group[order], key[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
+    return np.bincount(g[new], minlength=groups)
+
+
+def word_ids(corpus: DataFrame, id_col: str, text_col: str, chunks: int) -> DataFrame:
+    """id, chunk INT, ids BINARY: each document with words, shuffled to its chunk."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    source = corpus.where(F.length(text_col) > 0).select(id_col, text_col, F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("__chunk"))
+    kind, id_arrow = dict(source.dtypes)[id_col], to_arrow_type(source.schema[id_col].dataType)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = worker_words()
+        for batch in batches:
+            ids = [words.document(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_arrow), batch.column(2), pa.array(ids, pa.binary())], names=["id", "chunk", "ids"])
 
-def counters(keys: np.ndarray, row: int) -> np.ndarray:
-    """The counter of each pair in a row of the sketch."""
-    with np.errstate(over="ignore"):
-        mixed = keys * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[row])
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - PAIR_WIDTH.bit_length() + 1)).astype(np.int64)
+    return source.mapInArrow(run, f"id {kind}, chunk int, ids binary").repartition(chunks, "chunk")
 
 
-def document_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
-    """counter INT, n BIGINT: documents a word or pair stands in; counter -1 has the number of documents."""
+def chunk_counts(ids: DataFrame) -> DataFrame:
+    """chunk INT, key BIGINT, n BIGINT: the words and pairs of each chunk with their numbers in all chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sketch, documents = worker_words(), np.zeros(COUNTERS, np.int32), 0
+        chunks: dict[int, list[bytes]] = {}  # whole chunks, so that each sends a key once
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = words.of(text) if text else ()
-                if not len(ids):
-                    continue
-                documents += 1
-                sketch[np.unique(ids % WORD_WIDTH)] += 1
-                pairs = np.unique(pair_keys(ids))
-                for row in range(PAIR_DEPTH):
-                    # a document adds one to a counter even where two of its pairs share it
-                    sketch[WORD_WIDTH + row * PAIR_WIDTH + counters(pairs, row)] += 1
-        at = np.flatnonzero(sketch)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(sketch[at], documents), pa.int64())], names=["counter", "n"])
-
-    return corpus.select(text_col).mapInArrow(run, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
-
-
-class Judge:
-    """Shares of stuffed blocks, by the counts of a corpus."""
-
-    def __init__(self, sketch: np.ndarray, documents: int):
-        self.words, self.sketch, self.documents = worker_words(), sketch, max(1, documents)
-        self.log_words = np.log(np.maximum(sketch[:WORD_WIDTH], 1).astype(np.float32))
-
-    def blocks(self, text: str) -> Iterator[str]:
-        """Paragraphs, runs of short ones as one."""
-        short: list[str] = []
-        # most texts separate paragraphs by two line feeds and nothing else
-        simple = "\r" not in text and "\n " not in text and "\n\t" not in text and "\n\xa0" not in text
-        for p in text.split("\n\n") if simple else BLANK_LINES.split(text):
-            if len(p) < SHORT:
-                short.append(p)
-                continue
-            if short:
-                yield "\n".join(short)
-                short = []
-            yield p
-        if short:
-            yield "\n".join(short)
+            for c, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                chunks.setdefault(c, []).append(text)
+        for c in list(chunks):
+            keys, n = Read(chunks.pop(c)).counts()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys), pa.array(n.astype(np.int64))], names=["chunk", "key", "n"])
+
+    summed = ids.mapInArrow(run, "chunk int, key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks"))
+    return summed.select(F.explode("chunks").alias("chunk"), "key", "n")
 
-    def stuffed(self, block: str) -> bool:
-        """Is the block salad, a repeated collocation, or a list of links or tags?"""
-        ids = self.words.of(block)
-        if len(ids) < 4:
-            return False
-        marks = np.count_nonzero((ids == LINK) | (ids == TAG))
-        if marks >= 3 and marks >= 0.1 * len(ids):
-            return True
-        keys = pair_keys(ids)
-        if len(keys) - len(set(keys.tolist())) < 0.1 * len(keys):
-            return False  # prose: hardly a pair repeats, with numbers or without
-        numbers = np.count_nonzero(ids == NUMBER) / len(ids)
-        plain = (ids[:-1] != NUMBER) & (ids[1:] != NUMBER)
-        keys = keys[plain]
-        if not len(keys):
-            return False
-        repeated = (len(keys) - len(np.unique(keys))) / (len(ids) - 1)
-        if repeated < 0.1:
-            return False
-        together = np.minimum(*(self.sketch[WORD_WIDTH + r * PAIR_WIDTH + counters(keys, r)] for r in range(PAIR_DEPTH)))
-        logs = self.log_words[ids % WORD_WIDTH]
-        pmi = float(np.mean(np.log(np.maximum(together, 1)) + np.log(self.documents) - (logs[:-1] + logs[1:])[plain]))
-        if pmi >= -0.3 and repeated < 0.3:
-            return False
-        prose = sum(len(s) for s in CUT.split(block) if s.rstrip()[-1:] in (".", "!", "?") and s.count(" ") >= 4) >= 0.5 * len(block)
-        common = float(np.mean(logs > np.log(0.25 * self.documents)))
-        salad = pmi < -0.3 and numbers < 0.3 and repeated >= (0.33 if prose or common >= 0.15 else 0.1)
-        loops = repeated >= 0.3 and numbers < 0.2 and not prose and common < 0.1
-        return salad or loops
-
-    def share(self, text: str | None) -> float:
-        """Share of a text's characters that stands in stuffed blocks."""
-        if not text or text.isspace():
-            return 0.0
-        sizes = [(len(b), self.stuffed(b)) for b in self.blocks(text)]
-        return sum(n for n, bad in sizes if bad) / max(1, sum(n for n, _ in sizes))
-
-
-def stuffed_documents(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = 0.5) -> DataFrame:
+
+def stuffed_documents(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = 0.5, chunks: int | None = None) -> DataFrame:
     """id and stuffed_share of each document with more than ``least_share`` of its characters in stuffed blocks."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    counts = document_counts(corpus, text_col).toArrow()  # at most COUNTERS + 1 rows, whatever the corpus
-    at, n = counts.column("counter").to_numpy(), counts.column("n").to_numpy()
-    sketch = np.zeros(COUNTERS, np.int32)
-    sketch[at[at >= 0]] = np.minimum(n[at >= 0], np.iinfo(np.int32).max)
-    documents = int(n[at < 0].sum())
-    sent = corpus.sparkSession.sparkContext.broadcast(sketch)
-    source = corpus.select(id_col, text_col)
-    id_arrow = to_arrow_type(source.schema[id_col].dataType)
+    ids = word_ids(corpus, id_col, text_col, chunks or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind, id_arrow = dict(ids.dtypes)["id"], to_arrow_type(ids.schema["id"].dataType)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(sent.value, documents)
-        for batch in batches:
-            shares = [judge.share(t) for t in batch.column(1).to_pylist()]
-            keep = [(i, s) for i, s in zip(batch.column(0).to_pylist(), shares) if s > least_share]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in keep], id_arrow), pa.array([s for _, s in keep], pa.float64())], names=[id_col, "stuffed_share"])
+    def judge(documents: pa.Table, counts: pa.Table) -> pa.Table:
+        keys, totals = counts.column("key").to_numpy(), counts.column("n").to_numpy()
+        order = np.argsort(keys)
+        shares = Read(documents.column("ids").to_pylist()).shares(keys[order], totals[order], documents.num_rows) if len(keys) else np.zeros(documents.num_rows)
+        found = documents.column("id").combine_chunks().filter(pa.array(shares > least_share))
+        return pa.table([found.cast(id_arrow), pa.array(shares[shares > least_share])], names=["id", "stuffed_share"])
 
-    return source.mapInArrow(run, f"`{id_col}` {dict(source.dtypes)[id_col]}, stuffed_share double")
+    found = ids.groupBy("chunk").cogroup(chunk_counts(ids).groupBy("chunk")).applyInArrow(judge, f"id {kind}, stuffed_share double")
+    return found.withColumnRenamed("id", id_col)

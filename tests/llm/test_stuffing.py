@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -38,16 +39,36 @@ def test_found(spark):
 def test_counts_equal_brute_force(spark):
     rows, _ = corpus(random.Random(6))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    got = {r.counter: r.n for r in st.document_counts(df).collect()}
-    words, want = st.Words(), {}
+    got = st.chunk_counts(st.word_ids(df, "doc_id", "text", 4)).collect()
+    assert len(got) == len({(r.chunk, r.key) for r in got})
+    words, want = st.Words(), Counter()
     for _, t in rows:
-        ids = words.of(t) if t else ()
-        if not len(ids):
-            continue
-        pairs = np.unique(st.pair_keys(ids))
-        cells = {-1, *(ids % st.WORD_WIDTH).tolist()}
-        for r in range(st.PAIR_DEPTH):
-            cells |= set((st.WORD_WIDTH + r * st.PAIR_WIDTH + st.counters(pairs, r)).tolist())
-        for c in cells:
-            want[c] = want.get(c, 0) + 1
-    assert got == want
+        for block in st.blocks(t) if t else ():
+            ids = [i for i in np.frombuffer(words.of(block), np.int32).tolist() if i >= 0]
+            want.update((i << 32) | st.ALONE for i in ids if i != st.NUMBER)
+            want.update((a << 32) | b for a, b in zip(ids, ids[1:]) if st.NUMBER not in (a, b))
+    assert {r.key: r.n for r in got} == want
+
+
+def test_information_leaves_a_documents_own_counts_out():
+    words = st.Words()
+    documents = [words.document(t) for t in ("alpha beta gamma alpha beta", "alpha beta delta", "beta, alpha")]
+    read = st.Read(documents)
+    keys, n = read.counts()
+    assert dict(zip(keys.tolist(), n.tolist()))[(words_id(words, "alpha") << 32) | words_id(words, "beta")] == 3
+    assert st._same(read.document, read.words)[:2].tolist() == [2, 2]
+    assert read.within.tolist() == [True, True, True, True, True, True, False]
+    assert st._distinct(read.block, read.words, 3).tolist() == [3, 3, 2]
+
+
+def words_id(words, w):
+    return int(np.frombuffer(words.of(w), np.int32)[0])
+
+
+def test_repeated_sentences_are_spared_and_stuffed_sentences_found(spark):
+    rng = random.Random(9)
+    rows = [(k, prose(rng, 12)) for k in range(300)]
+    looking = "Looking for lease permit? Our lease permit is the best lease permit for every lease permit user. "
+    rows += [(k, looking * 6) for k in range(1000, 1002)] + [(2000, ("The invoice of the ledger was sent to Kestle and filed by the clerk in 2020. ") * 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in st.stuffed_documents(df, chunks=3).collect()} == {1000, 1001}
