@@ -46,6 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import chunk_of, chunks_for
+
 #: Ids of the classes that stand for all numbers, links and tags, and for any word beside a link or tag.
 NUMBER, LINK, TAG, ANY = 0, 1, 2, 3
 #: In a document's ids: the end of a segment; ``BLOCK`` less its characters begins a block.
@@ -221,7 +223,7 @@ def word_ids(corpus: DataFrame, id_col: str, text_col: str, chunks: int) -> Data
     """id, chunk INT, ids BINARY: each document with words, shuffled to its chunk."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    source = corpus.where(F.length(text_col) > 0).select(id_col, text_col, F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("__chunk"))
+    source = corpus.where(F.length(text_col) > 0).select(id_col, text_col, chunk_of(chunks, id_col, text_col).alias("__chunk"))
     kind, id_arrow = dict(source.dtypes)[id_col], to_arrow_type(source.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +255,7 @@ def stuffed_documents(corpus: DataFrame, id_col: str = "doc_id", text_col: str =
     """id and stuffed_share of each document with more than ``least_share`` of its characters in stuffed blocks."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    ids = word_ids(corpus, id_col, text_col, chunks or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ids = word_ids(corpus, id_col, text_col, chunks_for(corpus, chunks))
     kind, id_arrow = dict(ids.dtypes)["id"], to_arrow_type(ids.schema["id"].dataType)
 
     def judge(documents: pa.Table, counts: pa.Table) -> pa.Table:
