@@ -6,8 +6,12 @@ parentheses are atomic. What commas, "and" and "&" mean is uncertain, since
 values hold them too. A model of the column gives each possible value a
 probability: how often the value stands in the column, and how likely its first
 and last word and its number of words are. The model starts from the values
-that no uncertain delimiter touches; each round cuts every field by the best
-path through the lattice of its uncertain delimiters (Viterbi) and counts again.
+that no uncertain delimiter touches. Each round takes, for every field, the
+expected number of times that each path through the lattice of its uncertain
+delimiters holds a value and a cut (forward and backward sums), and counts those
+as the next model, until the likelihood of the column gains less than ``SETTLED``
+of itself. The best path under the last model (Viterbi) gives the values. A
+quoted span comes out as it stands.
 
 Scale: value counts stay a table and are joined to the candidate values of the
 lattices; only words that begin or end one value in ``KNOWN`` are gathered, of which there can be no
@@ -25,9 +29,10 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -39,8 +44,12 @@ from paperloom.session import checkpointed
 RARE = 2000
 #: A first or last word counts as known if it stands in one of so many values, so there are no more known words than this.
 KNOWN = 600
-#: The most delimiters that one value may hold inside.
-INNER = 4
+#: Characters of the longest value that may hold uncertain delimiters.
+LONGEST = 200
+#: Share of the log likelihood by which a round must gain for another one, and the most rounds.
+SETTLED, ROUNDS = 2e-3, 12
+#: A field's expectation of a value counts from this on: lesser ones of a legal form, summed over a column, would make it a value.
+SLIGHT = 0.5
 
 HARD = re.compile(r"<br\s*/?>|[;；|\t\n\r•·]+|\s/\s|\s?//\s?", re.I)
 SOFT = re.compile(r"\s*,\s*(?:and|&)\s+|\s*,\s*|\s+(?:and|&|und|et|y)\s+", re.I)
@@ -129,6 +138,7 @@ def _quote_end(text: str, at: int, close: str) -> int | None:
     return None
 
 
+@lru_cache(maxsize=100_000)
 def trimmed(value: str) -> str:
     """A value without blanks, quotes, numbering, joining words, descriptions after it and the comma before those."""
     while True:
@@ -139,12 +149,20 @@ def trimmed(value: str) -> str:
         value = LEAD.sub("", value, count=1)
         if value.endswith(")"):
             at = _opening(value)
-            if at is not None:
+            if at is not None and not _country(value[:at], value[at + 1 : -1]):
                 value = value[:at]
         if value == before:
             return value
 
 
+def _country(name: str, inside: str) -> bool:
+    """Is what stands in parentheses after a name the code of a country, and no short name made of the name's letters?"""
+    if not re.fullmatch(r"[A-Z]{2,3}", inside) or name.isupper():
+        return False
+    letters = iter(name.upper())
+    return not all(c in letters for c in inside)
+
+
 def _opening(value: str) -> int | None:
     depth = 0
     for k in range(len(value) - 1, -1, -1):
@@ -180,6 +198,7 @@ def normal(value: str) -> str:
 Shape = tuple[str, str, int, bool, bool, str]
 
 
+@lru_cache(maxsize=100_000)
 def shape(value: str) -> Shape | None:
     """(first word, last word, words, holds a joining word, holds a comma, words before those) of a trimmed value; None if it can't be one."""
     at = 0
@@ -248,72 +267,118 @@ def spans(segment: str) -> tuple[list[tuple[int, int, str]], dict[tuple[int, int
     values = {
         (i, j): trimmed(segment[nodes[i][1] : nodes[j][0]])
         for i in range(len(nodes) - 1)
-        for j in range(i + 1, min(len(nodes), i + 2 + INNER))
+        for j in range(i + 1, len(nodes))
+        if j == i + 1 or nodes[j][0] - nodes[i][1] <= LONGEST
     }
     return cuts, values
 
 
-def best_path(segment: str, hard: bool, model: Model, counts: dict[str, int]) -> tuple[list[str], list[tuple[str, bool, bool]]]:
-    """Values of the likeliest cut of a segment, and what became of each delimiter."""
+def lattice(segment: str, hard: bool, model: Model, counts: dict[str, int]) -> tuple[list[tuple[int, int, str]], dict[tuple[int, int], str], list[list[tuple[int, float]]]]:
+    """Delimiters, values, and for each node the edges that end there: (node where it begins, log probability of the value, its uncut delimiters and the cut after it)."""
     cuts, values = spans(segment)
     last = len(cuts) + 1
-    keep = [0.0] * (last + 1)
-    for k, (_, _, kind) in enumerate(cuts, 1):
-        keep[k] = model.log_cut(kind, hard, False)
-    prefix = [0.0]
-    for k in range(1, last + 1):
-        prefix.append(prefix[-1] + keep[k])
-    best: list[tuple[float, int]] = [(0.0, -1)] + [(-math.inf, -1)] * last
-    for j in range(1, last + 1):
+    kept = [0.0]
+    for _, _, kind in cuts:
+        kept.append(kept[-1] + model.log_cut(kind, hard, False))
+    edges: list[list[tuple[int, float]]] = [[] for _ in range(last + 1)]
+    for (i, j), v in values.items():
+        n = normal(v)
         cut = model.log_cut(cuts[j - 1][2], hard, True) if j < last else 0.0
-        for i in range(max(0, j - 1 - INNER), j):
-            v = values[i, j]
-            n = normal(v)
-            score = best[i][0] + (model.log_value(v, model.hot.get(n, counts.get(n, 0))) if v else 0.0) + cut + prefix[j - 1] - prefix[i]
-            if score > best[j][0]:
-                best[j] = (score, i)
-    path, j = [], last
+        edges[j].append((i, (model.log_value(v, model.hot.get(n, counts.get(n, 0))) if v else 0.0) + cut + kept[j - 1] - kept[i]))
+    return cuts, values, edges
+
+
+def best_path(segment: str, hard: bool, model: Model, counts: dict[str, int]) -> tuple[list[str], list[tuple[str, bool, bool]]]:
+    """Values of the likeliest cut of a segment, and what became of each delimiter."""
+    cuts, values, edges = lattice(segment, hard, model, counts)
+    best: list[tuple[float, int]] = [(0.0, -1)]
+    for ends in edges[1:]:
+        best.append(max((best[i][0] + score, i) for i, score in ends))
+    path, j = [], len(edges) - 1
     while j > 0:
         path.append((best[j][1], j))
         j = best[j][1]
-    path.reverse()
     at = {i for i, _ in path}
-    return [values[p] for p in path if values[p]], [(kind, hard, k in at) for k, (_, _, kind) in enumerate(cuts, 1)]
+    return [values[p] for p in reversed(path) if values[p]], [(kind, hard, k in at) for k, (_, _, kind) in enumerate(cuts, 1)]
+
+
+def _sum(logs: list[float]) -> float:
+    top = max(logs)
+    return top + math.log(sum(math.exp(x - top) for x in logs))
+
+
+def expectations(segment: str, hard: bool, model: Model, counts: dict[str, int]) -> tuple[float, dict[str, float], list[tuple[str, bool, bool, float]]]:
+    """Log likelihood of a segment, the expected number of each value without uncertain delimiters, and of each fate of its delimiters."""
+    cuts, values, edges = lattice(segment, hard, model, counts)
+    last = len(edges) - 1
+    forward = [0.0]
+    for ends in edges[1:]:
+        forward.append(_sum([forward[i] + score for i, score in ends]))
+    onward: list[list[float]] = [[] for _ in edges]
+    backward = [0.0] * len(edges)
+    for j in range(last, 0, -1):
+        if j < last:
+            backward[j] = _sum(onward[j])
+        for i, score in edges[j]:
+            onward[i].append(score + backward[j])
+    total = forward[last]
+    found: dict[str, float] = {}
+    # a composite that was left uncut mustn't vouch for itself: values with uncertain delimiters come from sure segments only
+    for j in range(1, last + 1):
+        for i, score in edges[j]:
+            if i == j - 1 and values[i, j]:
+                found[values[i, j]] = found.get(values[i, j], 0.0) + math.exp(forward[i] + score + backward[j] - total)
+    fates = []
+    for k, (_, _, kind) in enumerate(cuts, 1):
+        p = min(1.0, math.exp(forward[k] + backward[k] - total))
+        fates += [(kind, hard, True, p), (kind, hard, False, 1.0 - p)]
+    return total, found, fates
 
 
-def _evidence(values: list[str]) -> Iterator[tuple[str, str]]:
-    """Counted facts of values: (what, key)."""
-    for v in values:
-        s = shape(v)
+def _evidence(values: dict[str, float]) -> Iterator[tuple[str, str, float]]:
+    """Facts of values with their weights: (what, key, weight)."""
+    for v, weight in values.items():
+        s = shape(v) if weight >= SLIGHT else None
         if s:
-            yield "value", normal(v)
-            yield "end", s[1]
-            yield "shape", json.dumps(s)
+            yield "value", normal(v), weight
+            yield "end", s[1], weight
+            yield "shape", json.dumps(s), weight
 
 
-def _certain(text: str) -> tuple[list[tuple[str, bool]], bool]:
-    """(segment, whether its uncertain delimiters may be taken as part of a value) of a field, and whether certain delimiters cut it."""
+def _certain(text: str) -> tuple[list[tuple[str, bool, bool]], bool]:
+    """(segment, whether it was quoted, whether its uncertain delimiters may be taken as part of a value) of a field, and whether certain delimiters cut it."""
     cut = certain_cuts(text)
     segments, hard = [(s, q) for s, q in cut.segments if s.strip()], cut.hard
-    return [(s, q or hard or not uncertain_cuts(s)) for s, q in segments], hard
+    return [(s, q, q or hard or not uncertain_cuts(s)) for s, q in segments], hard
+
 
+def _whole(segment: str, quoted: bool) -> str:
+    """The value of a segment that isn't cut: a quoted span as it stands."""
+    return segment.strip() if quoted else trimmed(segment)
 
-def _initial(text: str) -> Iterator[tuple[str, str]]:
+
+def _initial(text: str) -> Iterator[tuple[str, str, float]]:
     """Evidence of the segments that were quoted, stand between certain delimiters, or hold no other."""
-    yield from _evidence([v for s, sure in _certain(text)[0] if sure and (v := trimmed(s))])
+    yield from _evidence(Counter(v for s, quoted, sure in _certain(text)[0] if sure and (v := _whole(s, quoted))))
+
+
+def _sure_composites(text: str) -> Iterator[tuple[str, str, float]]:
+    """Evidence of values that hold uncertain delimiters, from sure segments."""
+    yield from _evidence(Counter(v for s, quoted, sure in _certain(text)[0] if sure and (v := _whole(s, quoted)) and uncertain_cuts(v)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch], facts) -> Iterator[pa.RecordBatch]:
-    """Facts counted within a task before they are shuffled."""
-    seen: Counter = Counter()
+    """Facts (what, key, weight) summed within a task before they are shuffled."""
+    seen: dict[tuple[str, str], float] = defaultdict(float)
 
     def out() -> pa.RecordBatch:
         keys = list(seen)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([seen[k] for k in keys], pa.int64())], names=["what", "key", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([seen[k] for k in keys], pa.float64())], names=["what", "key", "n"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            seen.update(facts(*row))
+            for what, key, weight in facts(*row):
+                seen[what, key] += weight
         if len(seen) > 200_000:
             yield out()
             seen.clear()
@@ -352,44 +417,74 @@ def _model_of(facts: DataFrame) -> Model:
     return model
 
 
-_FACTS = "what string, key string, n bigint"
+_FACTS = "what string, key string, n double"
 
 
-def split_values(df: DataFrame, key: str, packed: str, rounds: int = 2, out: str = "value") -> DataFrame:
+def split_values(df: DataFrame, key: str, packed: str, rounds: int = ROUNDS, out: str = "value") -> DataFrame:
     """``key``, pos INT (from 1) and ``out``: one row per value packed in a field."""
     source = df.select(F.col(key).alias("k"), F.col(packed).alias("t")).where(F.length(F.trim("t")) > 0).distinct()
     if dict(df.dtypes)[key] != "string":
         source = source.withColumn("k", F.col("k").cast("string"))
     source = checkpointed(source)
-    facts = checkpointed(
-        source.select("t").mapInArrow(lambda it: _counted(it, _initial), _FACTS).groupBy("what", "key").agg(F.sum("n").alias("n"))
-    )
-    cut = None
+
+    def summed(facts: DataFrame) -> DataFrame:
+        return checkpointed(facts.groupBy("what", "key").agg(F.sum("n").alias("n")))
+
+    facts = summed(source.select("t").mapInArrow(lambda it: _counted(it, _initial), _FACTS))
+    before = None
     for _ in range(rounds):
-        cut = checkpointed(_cut(source, facts))
-        found = cut.select("values", "cuts").mapInArrow(lambda it: _counted(it, _outcome), _FACTS)
-        sure = source.select("t").mapInArrow(lambda it: _counted(it, _sure_composites), _FACTS)
-        facts = checkpointed(found.unionByName(sure).groupBy("what", "key").agg(F.sum("n").alias("n")))
-    result = cut.select(F.col("k").cast(dict(df.dtypes)[key]).alias(key), F.posexplode("values").alias("pos", out))
-    return result.select(key, (F.col("pos") + 1).cast("int").alias("pos"), out).distinct()
+        expected = _with_counts(source, facts).mapInArrow(lambda it, model=_model_of(facts): _counted(it, lambda _, t, found: _expected(t, found, model)), _FACTS)
+        facts = summed(expected)
+        likelihood = facts.where("what = 'likelihood'").agg(F.sum("n")).first()[0] or 0.0
+        if before is not None and likelihood - before < SETTLED * abs(before):
+            break
+        before = likelihood
+    model = _model_of(facts)
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [list(_values(t, found, model)) for t, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(values, pa.list_(pa.string()))], names=["k", "values"])
 
-def _outcome(values: list[str], cuts: list[str]) -> Iterator[tuple[str, str]]:
-    # a composite that was left uncut mustn't vouch for itself: values with uncertain delimiters come from sure segments only
-    yield from _evidence([v for v in values if not uncertain_cuts(v)])
-    for c in cuts:
-        yield "cut", c
+    split = _with_counts(source, facts).mapInArrow(cut, "k string, `values` array<string>")
+    result = split.select(F.col("k").cast(dict(df.dtypes)[key]).alias(key), F.posexplode("values").alias("pos", out))
+    return result.select(key, (F.col("pos") + 1).cast("int").alias("pos"), out).distinct()
 
 
-def _sure_composites(text: str) -> Iterator[tuple[str, str]]:
-    """Evidence of values that hold uncertain delimiters, from sure segments."""
-    yield from _evidence([v for s, sure in _certain(text)[0] if sure and (v := trimmed(s)) and uncertain_cuts(v)])
+def _expected(text: str, found: list[dict], model: Model) -> Iterator[tuple[str, str, float]]:
+    """Facts of a field by expectation under a model, and its log likelihood."""
+    counts = {f["v"]: f["n"] for f in found}
+    segments, hard = _certain(text)
+    yield from _sure_composites(text)
+    for segment, quoted, _ in segments:
+        if quoted or not uncertain_cuts(segment):
+            v = _whole(segment, quoted)
+            if v and not uncertain_cuts(v):
+                yield from _evidence({v: 1.0})
+            continue
+        total, values, fates = expectations(segment, hard, model, counts)
+        yield "likelihood", "", total
+        yield from _evidence(values)
+        for *fate, weight in fates:
+            yield "cut", json.dumps(fate), weight
+
+
+def _values(text: str, found: list[dict], model: Model) -> Iterator[str]:
+    """The values of a field."""
+    counts = {f["v"]: f["n"] for f in found}
+    segments, hard = _certain(text)
+    for segment, quoted, _ in segments:
+        if quoted or not uncertain_cuts(segment):
+            if v := _whole(segment, quoted):
+                yield v
+        else:
+            yield from best_path(segment, hard, model, counts)[0]
 
 
-def _cut(source: DataFrame, facts: DataFrame) -> DataFrame:
-    """k, values, cuts of every field by the best paths under a model."""
-    model = _model_of(facts)
-    hot = model.hot
+def _with_counts(source: DataFrame, facts: DataFrame) -> DataFrame:
+    """k, t, found of every field: the counts of the values that its lattices hold, but for those that the model knows from memory."""
+    total = facts.where("what = 'end'").agg(F.sum("n")).first()[0] or 0
+    least = max(2, total // RARE)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -398,7 +493,7 @@ def _cut(source: DataFrame, facts: DataFrame) -> DataFrame:
                 wanted: set[str] = set()
                 for segment, quoted in certain_cuts(t).segments:
                     if not quoted and uncertain_cuts(segment):
-                        wanted.update(n for v in spans(segment)[1].values() if (n := normal(v)) and n not in hot)
+                        wanted.update(n for v in spans(segment)[1].values() if (n := normal(v)))
                 # one row brings the field, the others only its digest
                 ks += [k] * (len(wanted) + 1)
                 hs += [blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()] * (len(wanted) + 1)
@@ -406,31 +501,12 @@ def _cut(source: DataFrame, facts: DataFrame) -> DataFrame:
                 vs += [None, *wanted]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (ks, hs, ts, vs)], names=["k", "h", "t", "v"])
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ks, values, cuts = [], [], []
-            for k, t, found in zip(*(c.to_pylist() for c in batch.columns)):
-                counts = {f["v"]: f["n"] for f in found}
-                cut = certain_cuts(t)
-                segments, hard = cut.segments, cut.hard
-                out: list[str] = []
-                fates: list[str] = []
-                for segment, quoted in segments:
-                    if quoted or not uncertain_cuts(segment):
-                        out += [v for v in [trimmed(segment)] if v]
-                        continue
-                    got, fate = best_path(segment, hard, model, counts)
-                    out += got
-                    fates += [json.dumps(f) for f in fate]
-                ks.append(k)
-                values.append(out)
-                cuts.append(fates)
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.string()), pa.array(values, pa.list_(pa.string())), pa.array(cuts, pa.list_(pa.string()))], names=["k", "values", "cuts"])
-
-    counts = facts.where((F.col("what") == "value") & (F.col("n") > 1)).select(F.col("key").alias("v"), "n")
-    # rows without a candidate would be a hot key: they aren't joined
+    values = facts.where("what = 'value'").select(F.col("key").alias("v"), "n")
+    counts = values.where((F.col("n") > 1) & (F.col("n") < least))
+    # values known from memory would be hot keys, as would rows without a candidate: they aren't joined
+    hot = values.where(F.col("n") >= least).select("v")
     wanted = source.mapInArrow(candidates, "k string, h string, t string, v string")
-    known = wanted.where("v IS NOT NULL").join(counts, "v").select("k", "h", "t", F.struct("v", "n").alias("found"))
-    kept = wanted.where("v IS NULL").select("k", "h", "t", F.lit(None).cast("struct<v:string,n:bigint>").alias("found"))
-    gathered = known.unionByName(kept).groupBy("k", "h").agg(F.max("t").alias("t"), F.collect_list("found").alias("found"))
-    return gathered.select("k", "t", "found").mapInArrow(choose, "k string, `values` array<string>, cuts array<string>")
+    cold = wanted.where("v IS NOT NULL").join(F.broadcast(hot), "v", "left_anti")
+    known = cold.join(counts, "v").select("k", "h", "t", F.struct("v", "n").alias("found"))
+    kept = wanted.where("v IS NULL").select("k", "h", "t", F.lit(None).cast("struct<v:string,n:double>").alias("found"))
+    return known.unionByName(kept).groupBy("k", "h").agg(F.max("t").alias("t"), F.collect_list("found").alias("found")).select("k", "t", "found")

@@ -1,3 +1,4 @@
+import math
 import random
 
 from paperloom.operators import packed_values as pv
@@ -68,3 +69,37 @@ def test_best_path_equals_enumeration():
                 best = (score, [values[i, j] for i, j in zip(at, at[1:])])
         got = pv.best_path(segment, False, model, {})[0]
         assert abs(sum(model.log_value(v, 0) for v in got) - sum(model.log_value(v, 0) for v in best[1])) < 1e-6 or got == best[1]
+
+
+def test_quoted_spans_stay_as_they_stand(spark):
+    rows = [("a", '"Acme Bank (Ireland)", "And Co", "1) Alpha"', "x"), ("b", "Acme Holdings (UK); Beta Freight (BF)", "x"), ("c", '["the Bank (\\"Bank\\")", "B"]', "x")]
+    got = split(rows, spark)
+    assert got == {"a": ["Acme Bank (Ireland)", "And Co", "1) Alpha"], "b": ["Acme Holdings (UK)", "Beta Freight"], "c": ['the Bank ("Bank")', "B"]}
+
+
+def test_values_of_many_delimiters(spark):
+    firm = "Ames, Bode, Cole, Dorn, Eads, Finn & Gray LLP"
+    rows = [(f"q{n}", f'"{firm}", "Name{n} LLC"', "x") for n in range(40)] + [(f"s{n}", f"Name{n} LLC; Item{n} LLC", "x") for n in range(40)] + [("z", firm, "x")]
+    assert split(rows, spark)["z"] == [firm]
+
+
+def test_expectations_equal_enumeration():
+    rng = random.Random(3)
+    model = pv.Model(total=100, ends={"llc": 40, "ltd": 20}, rare_ends=40)
+    for (e, n, j, c), k in {("llc", 2, False, False): 30, ("ltd", 2, False, False): 20, ("?", 2, False, False): 30, ("llc", 4, True, False): 5}.items():
+        model.sizes[e, n, j, c] += k
+        model.kind_sizes["?" if e == "?" else "known", n, j, c] += k
+    for _ in range(20):
+        segment = "".join(rng.choice(["Aa", "Bb llc", "Cc Dd", "Ee ltd"]) + rng.choice([", ", " and ", " & "]) for _ in range(4)) + "Zz llc"
+        cuts, values = pv.spans(segment)
+        ways = []
+        for mask in range(1 << len(cuts)):
+            at = [0, *(k + 1 for k in range(len(cuts)) if mask >> k & 1), len(cuts) + 1]
+            ways.append((sum(model.log_value(values[e], 0) for e in zip(at, at[1:])) + sum(model.log_cut(c[2], False, bool(mask >> k & 1)) for k, c in enumerate(cuts)), mask))
+        total, _, fates = pv.expectations(segment, False, model, {})
+        top = max(w for w, _ in ways)
+        each = {m: math.exp(w - top) for w, m in ways}
+        assert abs(total - top - math.log(sum(each.values()))) < 1e-6
+        for k in range(len(cuts)):
+            want = sum(p for m, p in each.items() if m >> k & 1) / sum(each.values())
+            assert abs(fates[2 * k][3] - want) < 1e-6
