@@ -3,16 +3,20 @@
 Method. Running headers and footers are edge lines that return on at least three
 pages of a document once digits are masked and confusable glyphs folded to one
 skeleton; page numbers are edge lines that only number the page. Words are
-counted over the whole corpus; a word is misread if undoing confusions of glyphs
-gives a far more frequent word of the same skeleton, chosen by its neighbours
-where several fit. Words cut at line ends are joined where the joined word is
-known or the mark is a soft one, and kept apart where the compound is. Windows
-over the judged lines number the paragraphs.
-
-Scale. Counting is combined within tasks. What is gathered and broadcast are
-words and pairs of neighbours that make up at least one in ``SHARE`` words, so
-there are at most ``SHARE`` of each, whatever the corpus. Lines are grouped by
-document once, for judgement; a document's lines must fit in a task's memory.
+counted over the whole corpus and grouped by their skeletons: every glyph is
+spelt out in the strokes it may be taken for, so a word and all its misreadings,
+whatever their number, share one. A word is misread if a word of its group can
+turn into it and neighbours and frequency support that one. Words cut at line
+ends are joined where the joined word is known or the mark is a soft one, and
+kept apart where the compound is. Windows over the judged lines number the
+paragraphs.
+
+Scale. Documents go to chunks by a hash. Each chunk asks for the skeletons of its
+words and for its pairs of neighbours, by one word and the other's skeleton; the
+counts of the whole corpus are joined to what was asked and sent back, one row a
+chunk and form, so no word is hot. A form that was seen ``LEAST`` times is known,
+in a corpus of any size; nothing is broadcast or sent to the driver. A chunk's
+lines and counts must fit in a task; ``chunks`` sets how many there are.
 
 Defined results: null and blank lines carry no noise; a line or run delivered
 twice counts once; missing boxes leave lines in the order of their numbers;
@@ -23,20 +27,26 @@ rows.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import chunk_of, chunks_for
 from .name_links import distance
 
-SHARE = 1_000_000
+#: Sightings that make a word or a pair of neighbours known.
+LEAST = 3
 #: Confusions of glyphs, as printed and as read (fixed values). Those read as signs or digits show themselves.
 SIGNS = {"0": "o", "5": "s", "6": "b", "8": "b", "9": "g", "@": "a", "(": "c", "ï": "i", "|": "l"}
 READ_AS = {"c": "e", "f": "t", "ri": "n", "cl": "d", "ii": "u", "rn": "m", "b": "h", "vv": "w", "v": "y", "g": "q"}
+#: What each glyph is spelt out as, so that a word and its misreadings are spelt alike.
+STROKES = str.maketrans({"e": "c", "(": "c", "t": "f", "n": "ri", "d": "ci", "u": "ii", "m": "rri", "h": "b", "6": "b", "8": "b", "w": "vv", "y": "v", "q": "g", "9": "g", "0": "o", "5": "s", "@": "a", "ï": "i", "l": "i", "1": "i", "|": "i", "-": "", "’": "", "'": ""})
 LOST = "�"
 MARKS = "-‐­¬"
 #: A misread form stands at most once for so many times of its original.
@@ -143,59 +153,64 @@ def edge_noise(pages: dict[int, list[str]]) -> dict[tuple[int, int], str]:
     return out
 
 
+def strokes(word: str) -> str:
+    """The skeleton of a word in small letters, the same for all its misreadings."""
+    return word.translate(STROKES)
+
+
 def read_from(word: str, original: str) -> bool:
     """Can confusions of glyphs, however many, turn an original into a word?"""
+    glyphs = [("i", "l") if c == "1" else (SIGNS.get(c, c),) for c in word]
     reached = {(0, 0)}
     for i in range(len(word)):
         for k in [k for at, k in reached if at == i]:
-            if original[k : k + 1] == word[i]:
+            printed = original[k : k + 1]
+            if any(a == printed or READ_AS.get(a) == printed for a in glyphs[i]):
                 reached.add((i + 1, k + 1))
-            for seen in (word[i], word[i : i + 2]):
-                if seen in READ_AS and original[k : k + 1] == READ_AS[seen]:
-                    reached.add((i + len(seen), k + 1))
+            if i + 1 < len(word) and any(READ_AS.get(a + b) == printed for a in glyphs[i] for b in glyphs[i + 1]):
+                reached.add((i + 2, k + 1))
     return (len(word), len(original)) in reached
 
 
+def lost_forms(word: str) -> list[str]:
+    """A word with lost glyphs as it stands, and with its signs read back."""
+    return list(dict.fromkeys((word, "".join(SIGNS.get(c, c) for c in word))))
+
+
+def lost_key(form: str) -> str | None:
+    """What a word must show to be the original of a form with lost glyphs: its length and two letters that are left, with their places."""
+    left = [k for k, c in enumerate(form) if c != LOST]
+    return _left_key(form, left[0], left[-1]) if left else None
+
+
+def _left_key(form: str, i: int, j: int) -> str:
+    return f"{len(form)} {i}{form[i]} {j}{form[j]}"
+
+
+def number_of(key: str) -> int:
+    """A key as a number of 32 bits; keys that share one bring more than was asked, which does no harm."""
+    return zlib.crc32(key.encode("utf-8", "surrogatepass")) - (1 << 31)
+
+
 class Glyphs:
-    """Judges words by the frequent words and neighbours of a corpus."""
+    """Judges words by the frequent words and neighbours of a corpus.
+
+    ``words`` and ``pairs`` need to hold only what may be looked up for the lines that are judged.
+    """
 
     def __init__(self, words: dict[str, int], pairs: dict[str, int], least: int):
         self.words, self.pairs, self.least = words, pairs, least
         self.by_length: dict[int, list[str]] = defaultdict(list)
+        self.by_strokes: dict[str, list[str]] = defaultdict(list)
         for w in words:
             self.by_length[len(w)].append(w)
-        self.by_skeleton: dict[str, list[str]] = defaultdict(list)
-        for w in words:
-            self.by_skeleton[skeleton(w)].append(w)
+            self.by_strokes[strokes(w)].append(w)
         self.judged = lru_cache(maxsize=200_000)(self._judge)
         self.options = lru_cache(maxsize=200_000)(self._options)
 
-    def originals(self, word: str) -> set[str]:
-        """Words whose misreading, once or twice, gives this one; signs are read back first."""
-        base = {""}
-        for c in word:
-            base = {b + x for b in base for x in (("i", "l") if c == "1" else (SIGNS.get(c, c),))}
-            if len(base) > 16:
-                break
-        out, layer = set(base), base
-        for _ in range(2):
-            new = set()
-            for w in layer:
-                for k in range(len(w)):
-                    for seen, printed in READ_AS.items():
-                        if w.startswith(seen, k):
-                            new.add(w[:k] + printed + w[k + len(seen) :])
-            layer = {w for w in new if len(w) >= 2}
-            if len(layer) > 400:
-                break
-            out |= layer
-        out.discard(word)
-        return out
-
     def _options(self, word: str) -> frozenset[str]:
-        """Known words whose misreading gives a word of letters: those of its skeleton with any number of confusions, others with two."""
-        found = {w for w in self.originals(word) if w in self.words}
-        return frozenset(found.union(w for w in self.by_skeleton.get(skeleton(word), ()) if w != word and read_from(word, w)))
+        """Known words whose misreading gives a word."""
+        return frozenset(w for w in self.by_strokes.get(strokes(word), ()) if w != word and read_from(word, w))
 
     def doubtful(self, word: str) -> bool:
         """Must neighbours say which word this is?"""
@@ -208,13 +223,13 @@ class Glyphs:
 
     def best(self, word: str, before: str, after: str) -> tuple[str, int]:
         """The original that neighbours and frequency support best, and its count."""
+        found: list[str] = []
         if LOST in word:
-            pattern = re.compile("".join("." if c == LOST else re.escape(c) for c in word))
-            found = [w for w in self.by_length[len(word)] if pattern.fullmatch(w)]
-            if not found and any(c in word for c in SIGNS):
-                found = [w for w in self.by_length[len(word)] if pattern.fullmatch("".join(SIGNS.get(c, c) for c in w))]
+            for form in lost_forms(word):
+                pattern = re.compile("".join("." if c == LOST else re.escape(c) for c in form))
+                found = found or [w for w in self.by_length[len(word)] if pattern.fullmatch(w)]
         else:
-            found = [w for w in self.originals(word) if w in self.words]
+            found = list(self.options(word))
         if not found:
             return "", 0
         w = max(found, key=lambda w: (self.pairs.get(f"{before} {w}", 0) + self.pairs.get(f"{w} {after}", 0), self.words[w], w))
@@ -333,7 +348,6 @@ class Glyphs:
 def _line_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words and neighbours of lines, combined within a task."""
     seen: Counter = Counter()
-    total = 0
 
     def out() -> pa.RecordBatch:
         keys = list(seen)
@@ -351,30 +365,115 @@ def _line_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     last = ""
                     continue
                 seen[w] += 1
-                total += 1
                 if last:
                     seen[f"{last} {w}"] += 1
                 last = w if w == t.lower() else ""
         if len(seen) > 300_000:
             yield out()
             seen.clear()
-    seen["\0"] = total
     yield out()
 
 
-def corpus_glyphs(lines: DataFrame) -> tuple[dict[str, int], dict[str, int], int]:
-    """(frequent words, frequent neighbours, least count) of all lines (column ``text``)."""
-    facts = lines.select("text").where(F.length(F.trim("text")) > 0).mapInArrow(_line_facts, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    facts = facts.persist()
-    total = facts.where("key = '\0'").agg(F.sum("n")).first()[0] or 0
-    least = max(3, -(-total // SHARE))
-    words: dict[str, int] = {}
-    pairs: dict[str, int] = {}
-    kept = facts.where((F.col("n") >= least) & (F.col("key") != "\0")).toArrow()
-    for k, n in zip(kept.column("key").to_pylist(), kept.column("n").to_pylist()):
-        (pairs if " " in k else words)[k] = n
-    facts.unpersist()
-    return words, pairs, least
+class Asked:
+    """What the judgement of a document's lines may look up, as keys of :func:`_supplied`."""
+
+    def __init__(self) -> None:
+        self.keys: set[str] = set()
+
+    def word(self, low: str) -> None:
+        self.keys.add("s" + strokes(low))
+        if LOST in low:
+            self.keys.update("w" + k for form in lost_forms(low) if (k := lost_key(form)))
+
+    def token(self, token: str, before: str, after: str) -> None:
+        """A token between its neighbours, in all forms that :meth:`Glyphs.judge` tries."""
+        plain = token.strip(".,;:!?").lower()
+        word = token.rstrip(".,;:!?\"'”’]}*").lstrip("\"'“‘[{*•").lower()
+        forms = {plain, word}
+        if word.endswith(")"):
+            forms.add(word.rstrip(").,;").lstrip("("))
+        forms |= {f[1:] for f in forms if f[:1] == "("}
+        for low in forms:
+            if not LETTERS.search(low):
+                continue
+            self.word(low)
+            if before:
+                self.keys.add(f"p{before} {strokes(low)}")
+            if after:
+                self.keys.add(f"q{strokes(low)} {after}")
+            if LOST in low:
+                self.keys.update(x for form in lost_forms(low) if (k := lost_key(form)) for x in (f"l{before} {k}", f"r{k} {after}"))
+
+    def join(self, first: str, second: str, before: str, after: str) -> None:
+        """A word cut at a line's end with what may be its rest."""
+        own, tail = re.search(r"[\w@(|ï�’'-]+$", first[:-1]), _tail_of(second)
+        if not own or not tail:
+            return
+        for low in (own.group().lower(), tail.lower(), f"{own.group()}-{tail}".lower()):
+            self.word(low)
+        self.token(own.group() + tail, before, after)
+
+
+def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk, key: what each chunk asks for, once a chunk."""
+    asked: dict[int, Asked] = {}
+    chunk_of_document: dict[tuple, int] = {}
+    documents: dict[tuple, list[dict]] = defaultdict(list)
+    for batch in batches:
+        for row in batch.to_pylist():
+            at = row["origin"], row["doc_id"]
+            chunk_of_document[at] = row["chunk"]
+            documents[at].append(row)
+    for at in list(documents):
+        keys = asked.setdefault(chunk_of_document[at], Asked())
+        lines = [line["text"].split() for line in printed_lines(documents.pop(at))]
+        for n, tokens in enumerate(lines):
+            for k, t in enumerate(tokens):
+                before = tokens[k - 1].lower() if k else ""
+                after = tokens[k + 1].strip(".,;:").lower() if k + 1 < len(tokens) else ""
+                keys.token(t, before, after)
+            # the rest stands in the next line of the body, beyond the edges of two pages at most
+            if tokens and tokens[-1][-1] in MARKS and len(tokens[-1]) > 1:
+                for rest in lines[n + 1 : n + 2 + 2 * EDGE_LINES]:
+                    keys.join(tokens[-1], rest[0], tokens[-2].lower() if len(tokens) > 1 else "", rest[1].strip(".,;:").lower() if len(rest) > 1 else "")
+    for c, a in asked.items():
+        keys = pa.array({number_of(k) for k in a.keys}, pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c, np.int32)), keys], names=["chunk", "key"])
+
+
+def _supplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, form, n: the known words and pairs of neighbours under all keys that may ask for them."""
+    for batch in batches:
+        keys, forms, counts = [], [], []
+        for form, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            first, space, second = form.partition(" ")
+            if space:
+                own = [f"p{first} {strokes(second)}", f"q{strokes(first)} {second}"]
+                own += [f"l{first} {_left_key(second, i, len(second) - 1 - j)}" for i, j in _ONE_LOST if i + j < len(second)]
+                own += [f"r{_left_key(first, i, len(first) - 1 - j)} {second}" for i, j in _ONE_LOST if i + j < len(first)]
+            else:
+                own = ["s" + strokes(form)]
+                own += ["w" + _left_key(form, i, j) for i, j in _left_over(len(form))]
+            keys += map(number_of, own)
+            forms += [form] * len(own)
+            counts += [n] * len(own)
+        for at in range(0, max(1, len(keys)), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000], pa.int32()), pa.array(forms[at : at + 100_000], pa.string()), pa.array(counts[at : at + 100_000], pa.int64())], names=["key", "form", "n"])
+
+
+#: Glyphs lost at the start and at the end of a word whose neighbours are looked up.
+_ONE_LOST = ((0, 0), (1, 0), (0, 1))
+
+
+def _left_over(n: int) -> list[tuple[int, int]]:
+    """First and last places that lost glyphs may leave in a word of ``n`` letters: up to two lost at either end, or one place alone."""
+    return [(i, j) for i in range(min(3, n)) for j in range(max(i, n - 3), n)]
+
+
+def corpus_counts(lines: DataFrame) -> DataFrame:
+    """key, n: the words and pairs of neighbours of all lines (column ``text``) that were seen ``LEAST`` times."""
+    facts = lines.select("text").where(F.length(F.trim("text")) > 0).mapInArrow(_line_facts, "key string, n bigint")
+    return facts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
 
 
 def scanned_lines(layout_line: DataFrame, text_run: DataFrame) -> DataFrame:
@@ -394,58 +493,56 @@ _JUDGED = (
 )
 
 
-def judged_lines(layout_line: DataFrame, text_run: DataFrame) -> DataFrame:
+def judged_lines(layout_line: DataFrame, text_run: DataFrame, chunks: int | None = None) -> DataFrame:
     """One row per printed line: its runs, kinds of noise, and its text with misread words restored.
 
     A word cut at the line's end stands whole in its first line.
     """
-    source = scanned_lines(layout_line, text_run)
-    words, pairs, least = corpus_glyphs(source)
-    sent = source.sparkSession.sparkContext.broadcast((words, pairs, least))
-    # the lines of a document follow each other in one partition, sorted and spilled by the JVM, so a task holds one document at a time
-    sorted_lines = (
-        source.where("doc_id IS NOT NULL AND page IS NOT NULL AND seq IS NOT NULL").repartition("origin", "doc_id")
-        .sortWithinPartitions("origin", "doc_id").select("origin", "doc_id", "page", "seq", "x", "y", "block", "text")
-    )
+    source = scanned_lines(layout_line, text_run).where("doc_id IS NOT NULL AND page IS NOT NULL AND seq IS NOT NULL")
+    n = chunks_for(source, chunks)
+    lines = source.select(chunk_of(n, "origin", "doc_id").alias("chunk"), "origin", "doc_id", "page", "seq", "x", "y", "block", "text").repartition(n, "chunk")
+    requests = lines.mapInArrow(_requests, "chunk int, key int")
+    supplied = corpus_counts(lines).mapInArrow(_supplied, "key int, form string, n bigint")
+    answers = requests.join(supplied, "key").select("chunk", F.col("form").alias("key"), "n").distinct()
     kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int32()), pa.string(), pa.string()]
     names = ["origin", "doc_id", "page", "line", "seqs", "running", "page_number", "hyphen", "misread", "block", "repaired"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        glyphs = Glyphs(*sent.value)
-        at, rows, out = None, [], []
-
-        def judged() -> list[tuple]:
-            return [(*at, *r) for r in judge_document(rows, glyphs)] if rows else []
-
-        def batch_of(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
-
-        for batch in batches:
-            for origin, doc, page, seq, x, y, block, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (origin, doc) != at:
-                    out += judged()
-                    at, rows = (origin, doc), []
-                    if len(out) > 5000:
-                        yield batch_of(out)
-                        out = []
-                rows.append({"page": page, "seq": seq, "x": x, "y": y, "block": block, "text": text})
-        out += judged()
-        if out:
-            yield batch_of(out)
-
-    return sorted_lines.mapInArrow(run, _JUDGED)
-
-
-def judge_document(rows: list[dict], glyphs: Glyphs) -> list[tuple]:
-    """Judged lines of one document, in reading order."""
+    def judge(lines: pa.Table, counts: pa.Table) -> pa.Table:
+        words: dict[str, int] = {}
+        pairs: dict[str, int] = {}
+        for key, n in zip(counts.column("key").to_pylist(), counts.column("n").to_pylist()):
+            (pairs if " " in key else words)[key] = n
+        glyphs = Glyphs(words, pairs, LEAST)
+        at, rows, out, parts = None, [], [], []
+
+        def part() -> pa.Table:
+            return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
+
+        for batch in lines.sort_by([("origin", "ascending"), ("doc_id", "ascending")]).to_batches(max_chunksize=5000):
+            for row in batch.to_pylist():
+                if (row["origin"], row["doc_id"]) != at:
+                    if rows:
+                        out += [(*at, *r) for r in judge_document(rows, glyphs)]
+                    at, rows = (row["origin"], row["doc_id"]), []
+                rows.append(row)
+            if len(out) > 5000:
+                parts.append(part())
+                out = []
+        if rows:
+            out += [(*at, *r) for r in judge_document(rows, glyphs)]
+        return pa.concat_tables([*parts, part()])
+
+    return lines.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, _JUDGED)
+
+
+def printed_lines(rows: list[dict]) -> list[dict]:
+    """The printed lines of a document in reading order: page, place on the page, runs and text."""
     by_page: dict[int, dict[int, dict]] = defaultdict(dict)
     for r in rows:
         kept = by_page[r["page"]].get(r["seq"])
         if kept is None or (r["text"] or "") > (kept["text"] or ""):
             by_page[r["page"]][r["seq"]] = r
     lines: list[dict] = []
-    pages: dict[int, list[str]] = {}
-    places: list[tuple[int, int]] = []
     for p in sorted(by_page):
         runs = [r for r in by_page[p].values() if (r["text"] or "").strip()]
         runs.sort(key=lambda r: (r["y"] if r["y"] is not None else r["seq"], r["x"] or 0, r["seq"]))
@@ -454,13 +551,20 @@ def judge_document(rows: list[dict], glyphs: Glyphs) -> list[tuple]:
             if own and r["y"] is not None and own[-1]["y"] == r["y"]:
                 own[-1]["runs"].append(r)
             else:
-                own.append({"y": r["y"], "runs": [r], "page": p})
-        for k, line in enumerate(own):
+                own.append({"y": r["y"], "runs": [r], "page": p, "place": (p, len(own))})
+        for line in own:
             line["text"] = " ".join(r["text"].strip() for r in line["runs"])
-            lines.append(line)
-            places.append((p, k))
-        if own:
-            pages[p] = [line["text"] for line in own]
+        lines += own
+    return lines
+
+
+def judge_document(rows: list[dict], glyphs: Glyphs) -> list[tuple]:
+    """Judged lines of one document, in reading order."""
+    lines = printed_lines(rows)
+    places = [line["place"] for line in lines]
+    pages: dict[int, list[str]] = defaultdict(list)
+    for line in lines:
+        pages[line["page"]].append(line["text"])
     noise = edge_noise(pages)
     body = [n for n, place in enumerate(places) if place not in noise]
     following = dict(zip(body, body[1:]))
