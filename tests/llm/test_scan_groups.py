@@ -33,6 +33,6 @@ def test_result_does_not_depend_on_chunks(spark):
 
 
 def test_what_is_asked_covers_lost_glyphs(spark):
-    lines = [(f"k{n}", 1, "b", n, "x the tenant signed", None, None, "m", 1) for n in range(5)] + [("z", 1, "b", 1, "a the t�nan� s|gned", None, None, "m", 1)]
+    lines = [(f"k{n}", 1, "b", n, "x the tenant signed", None, None, "m", 1) for n in range(5)] + [("z", 1, "b", 1, "a the t�nan� s1gned", None, None, "m", 1)]
     got = sr.judged_lines(spark.createDataFrame(lines, LINE), spark.createDataFrame([], RUN)).where("doc_id = 'z'").first()
     assert got.repaired == "a the tenant signed" and got.misread == [1]
