@@ -54,7 +54,7 @@ NUMBER, LINK, TAG, ANY = 0, 1, 2, 3
 CUT, BLOCK = -1, -2
 #: In place of the second word of a pair: the count of the first by itself.
 ALONE = (1 << 32) - 1
-CACHE_TOKENS = 400_000
+CACHE_TOKENS, SLICE = 400_000, 1 << 22
 RARE, PRIOR = 30, 5.0
 #: Paragraphs shorter than this are judged together; blocks of fewer words aren't judged.
 SHORT, LEAST_WORDS = 60, 4
@@ -203,6 +203,19 @@ class Read:
         return bad / np.maximum(1, np.bincount(self.block_document, self.sizes, documents))
 
 
+def slices(documents: list[bytes]) -> Iterator[list[bytes]]:
+    """Documents in runs of about ``SLICE`` bytes of ids, so that the arrays over them stay small."""
+    part, size = [], 0
+    for d in documents:
+        part.append(d)
+        size += len(d)
+        if size >= SLICE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _same(group: np.ndarray, key: np.ndarray) -> np.ndarray:
     """For each place, how often its key stands in its group."""
     _, at, n = np.unique((group.astype(np.int64) << 32) | key, return_inverse=True, return_counts=True)
@@ -261,7 +274,10 @@ def stuffed_documents(corpus: DataFrame, id_col: str = "doc_id", text_col: str =
     def judge(documents: pa.Table, counts: pa.Table) -> pa.Table:
         keys, totals = counts.column("key").to_numpy(), counts.column("n").to_numpy()
         order = np.argsort(keys)
-        shares = Read(documents.column("ids").to_pylist()).shares(keys[order], totals[order], documents.num_rows) if len(keys) else np.zeros(documents.num_rows)
+        keys, totals = keys[order], totals[order]
+        texts = documents.column("ids").to_pylist()
+        parts = [Read(part).shares(keys, totals, len(part)) for part in slices(texts)] if len(keys) else [np.zeros(len(texts))]
+        shares = np.concatenate(parts)
         found = documents.column("id").combine_chunks().filter(pa.array(shares > least_share))
         return pa.table([found.cast(id_arrow), pa.array(shares[shares > least_share])], names=["id", "stuffed_share"])
 
