@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def distribution(c: Column) -> list[Column]:
-    """count, p50, p90, p95, max and mean of the finite values; percentiles are nearest ranks."""
-    v = F.when(~F.isnan(c.cast("double")), c.cast("double"))
-    # array_agg keeps exact nearest ranks; percentile_disc does so without collecting
-    return [F.count(v).alias("n"), *[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").cast("double").alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.95)], F.max(v).alias("max"), F.round(F.avg(v), 3).alias("mean")]
+from paperloom.operators import ranks
 
 
 def distributions(df: DataFrame, dimension: str, value: str) -> DataFrame:
-    """Distribution of a value by one dimension."""
-    return df.select(F.col(dimension).alias("dimension"), F.col(value).cast("double").alias("value")).groupBy("dimension").agg(*distribution(F.col("value")))
+    """dimension, n, p50, p90, p95, max, mean of the finite values of a column by one dimension; percentiles are nearest ranks."""
+    source = df.select(F.col(dimension).alias("dimension"), F.col(value).cast("double").alias("value"))
+    found = ranks.ranked(source, ["dimension"], "value", {"p50": ranks.nearest(0.5), "p90": ranks.nearest(0.9), "p95": ranks.nearest(0.95)})
+    return found.select("dimension", "n", "p50", "p90", "p95", F.col("most").alias("max"), F.round("mean", 3).alias("mean"))
 
 
 def summary(scores: DataFrame) -> DataFrame:

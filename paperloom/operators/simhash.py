@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, LEAST, BANDS = 5, 200, 7
+from paperloom.session import checkpointed
+
+SHINGLE, LEAST = 5, 200
+#: Fingerprints that share a key of bits at random, at most about so many; and those of a key that one part of a join holds.
+CROWD, PART = 64, 10_000
 _OFFSET, _PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 
 
@@ -55,21 +60,52 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def band_keys(c: Column) -> Column:
-    """Seven bands of a fingerprint; two fingerprints within six bits share at least one."""
-    return F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.shiftleft(c, max(0, 64 - 9 * (k + 1) - (k == BANDS - 1))), 55 - (k == BANDS - 1)).alias("value")) for k in range(BANDS)])
+def bands_for(n: int, most: int) -> tuple[int, int]:
+    """(blocks, how many of them make a key) so that a key is shared by about ``CROWD`` of ``n`` fingerprints at random.
+
+    ``most`` bits spoil as many blocks at most, so some key of the blocks that are left is equal for all pairs within ``most`` bits.
+    """
+    take = 1
+    while n >> (take * 64 // (most + take)) > CROWD and take < 5:
+        take += 1
+    return most + take, take
+
+
+def band_keys(c: Column, blocks: int, take: int) -> Column:
+    """The keys of a fingerprint: each choice of ``take`` of its blocks."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    masks = [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen) for chosen in combinations(range(blocks), take)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.array(*[F.struct(F.lit(k).alias("band"), c.bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(signed)])
+
+
+def fingerprint_classes(prints: DataFrame, id_col: str) -> DataFrame:
+    """fingerprint, representative (the least id) and members of each distinct fingerprint."""
+    return prints.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min(id_col).alias("representative"), F.count("*").alias("members"))
 
 
 def near_classes(prints: DataFrame, id_col: str, most: int = 6) -> DataFrame:
-    """fingerprint_a < fingerprint_b, distance: all pairs of different fingerprints within ``most`` (at most six) bits.
+    """fingerprint_a < fingerprint_b, distance: all pairs of different fingerprints within ``most`` bits.
 
     Equal fingerprints are one class and meet once, however many documents carry
-    them; ``members`` gives the documents of a class.
+    them; :func:`near_members` gives the documents of a class. The classes of a key
+    that many share are met in parts: each is sent to every part, and asks in its own.
     """
-    if most >= BANDS:
-        raise ValueError("bands find pairs of at most six bits")
-    classes = prints.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.count("*").alias("members"))
-    banded = classes.select("fingerprint", F.explode(band_keys(F.col("fingerprint"))).alias("k")).select("fingerprint", "k.band", "k.value")
-    a, b = banded.withColumnRenamed("fingerprint", "fingerprint_a"), banded.withColumnRenamed("fingerprint", "fingerprint_b")
-    pairs = a.join(b, ["band", "value"]).where("fingerprint_a < fingerprint_b").select("fingerprint_a", "fingerprint_b").distinct()
-    return pairs.withColumn("distance", hamming(F.col("fingerprint_a"), F.col("fingerprint_b"))).where(F.col("distance") <= most)
+    classes = checkpointed(fingerprint_classes(prints, id_col))
+    blocks, take = bands_for(classes.count(), most)
+    banded = classes.select("fingerprint", F.explode(band_keys(F.col("fingerprint"), blocks, take)).alias("k")).select("fingerprint", "k.band", "k.value")
+    crowds = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    met = banded.join(crowds, ["band", "value"])
+    a = met.select("band", "value", F.col("fingerprint").alias("fingerprint_a"), F.pmod(F.xxhash64("fingerprint"), "parts").cast("int").alias("part"))
+    b = met.select("band", "value", F.col("fingerprint").alias("fingerprint_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    distance = hamming(F.col("fingerprint_a"), F.col("fingerprint_b"))
+    pairs = a.join(b, ["band", "value", "part"]).where(F.col("fingerprint_a") < F.col("fingerprint_b")).withColumn("distance", distance).where(F.col("distance") <= most)
+    return pairs.select("fingerprint_a", "fingerprint_b", "distance").distinct()
+
+
+def near_members(prints: DataFrame, id_col: str, pairs: DataFrame) -> DataFrame:
+    """``id_col``, representative, members, links: the class of each row with a fingerprint, and how many other classes are near it."""
+    ends = pairs.select(F.explode(F.array("fingerprint_a", "fingerprint_b")).alias("fingerprint"))
+    links = ends.groupBy("fingerprint").agg(F.count("*").alias("links"))
+    classes = fingerprint_classes(prints, id_col).join(links, "fingerprint", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    return prints.join(classes, "fingerprint").select(id_col, "representative", "members", "links")

@@ -99,6 +99,12 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal fingerprints of each document, and how many other classes are within six bits."""
+    prints = simhash.fingerprints(spread(table(spark, sf_dir, "documents")), "doc_id", "text").where("fingerprint IS NOT NULL")
+    return simhash.near_members(prints, "doc_id", simhash.near_classes(prints, "doc_id"))
+
+
+def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different fingerprints within six bits."""
     return simhash.near_classes(simhash.fingerprints(spread(table(spark, sf_dir, "documents")), "doc_id", "text"), "doc_id")
 
@@ -120,7 +126,7 @@ _TERMS = f"SELECT doc_id, source, unnest({TERMS_SQL.format('text')}) AS term FRO
 QUERIES = {
     "blocks_of_documents": blocks_of_documents, "blocks_with_heading": blocks_with_heading, "section_spans": section_spans, "opening_and_closing": opening_and_closing, "table_rows": table_rows,
     "outlines": outlines, "running_lines": running_lines, "linearized_pages": linearized_pages, "term_weights": term_weights, "document_frequencies": document_frequencies, "bm25_scores": bm25_scores,
-    "exact_duplicates": exact_duplicates, "fingerprints": fingerprints, "near_duplicate_classes": near_duplicate_classes,
+    "exact_duplicates": exact_duplicates, "fingerprints": fingerprints, "near_duplicate_classes": near_duplicate_classes, "near_duplicate_pairs": near_duplicate_pairs,
 }
 ORACLE_SQL = {
     "blocks_of_documents": f"WITH {_BLOCKS} SELECT * FROM b",

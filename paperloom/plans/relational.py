@@ -10,7 +10,10 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from paperloom.operators import ranks
+from paperloom.operators.evaluation import distributions
 from paperloom.session import table
 
 _TABLE = re.compile(r"\{([a-z_]+)\}")
@@ -40,6 +43,9 @@ _ORDER = """(SELECT folder, CASE WHEN max(CASE WHEN CAST(a AS INT) > 12 THEN 1 E
     WHEN max(CASE WHEN CAST(b AS INT) > 12 THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN CAST(a AS INT) > 12 THEN 1 ELSE 0 END) = 0 THEN 'month_first' END AS date_order
     FROM """ + _DATES + " WHERE a <> '' GROUP BY folder)"
 
+_MARKED = "áéíóúàèìòùâêîôûäëïöüãõñçåæøß"
+_BYTES = " || ".join(f"chr({k + 1})" for k in range(len(_MARKED)))
+
 PAIRS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     # joins
     "join_history_of_items": _both("SELECT e.event_id, e.ts, e.event_type, i.item FROM {events} e JOIN " + _ITEMS + " i ON e.user_id = i.item WHERE e.event_type IN ('purchase', 'signup')"),
@@ -52,7 +58,7 @@ PAIRS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "join_aligned_reports": _both("""WITH a AS (SELECT user_id AS id, count(*) AS n FROM {events} WHERE event_type = 'click' GROUP BY user_id), b AS (SELECT user_id AS id, count(*) AS n FROM {events} WHERE event_type = 'purchase' GROUP BY user_id)
         SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'only_before' WHEN a.id IS NULL THEN 'only_after' WHEN b.n > a.n THEN 'fixed' WHEN b.n < a.n THEN 'broken' ELSE 'same' END AS verdict
         FROM a FULL OUTER JOIN b ON a.id = b.id"""),
-    "join_prompt_lookup": _both("""WITH asked AS (SELECT DISTINCT message_id, sha256(coalesce(content, '')) AS prompt FROM {chat_message} WHERE turn_role = 'user'), kept AS (SELECT prompt, min(message_id) AS reply FROM asked WHERE message_id < 20000 GROUP BY prompt)
+    "join_prompt_lookup": _both("""WITH asked AS (SELECT DISTINCT message_id, sha256(coalesce(content, '')) AS prompt FROM {chat_message} WHERE turn_role = 'user'), kept AS (SELECT prompt, min(message_id) AS reply FROM asked GROUP BY prompt)
         SELECT a.message_id, k.reply, k.reply IS NULL AS stale FROM asked a LEFT JOIN kept k ON a.prompt = k.prompt""",
         """WITH asked AS (SELECT DISTINCT message_id, sha2(coalesce(content, ''), 256) AS prompt FROM {chat_message} WHERE turn_role = 'user'), kept AS (SELECT prompt, min(message_id) AS reply FROM asked GROUP BY prompt)
         SELECT a.message_id, k.reply, k.reply IS NULL AS stale FROM asked a LEFT JOIN kept k ON a.prompt = k.prompt"""),
@@ -68,10 +74,10 @@ PAIRS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         SELECT f.fixture_id, f.party FROM f WHERE EXISTS (SELECT 1 FROM r WHERE r.party = f.party)""",
         """WITH r AS (SELECT DISTINCT lower(to_value) AS party FROM {house_rules} WHERE kind = 'party' AND to_value IS NOT NULL), f AS (SELECT DISTINCT fixture_id, lower(p) AS party FROM {expected_fixture} LATERAL VIEW explode(parties) AS p)
         SELECT f.fixture_id, f.party FROM f WHERE EXISTS (SELECT 1 FROM r WHERE r.party = f.party)"""),
-    "join_positions_in_spans": _both("""WITH p AS (SELECT doc_id, unnest(pages) AS p FROM (SELECT DISTINCT ON (doc_id) doc_id, pages FROM {worker_document})), s AS (SELECT doc_id, p.page_number AS page, p.text AS text, unnest(p.volatile_spans) AS s FROM p)
-        SELECT doc_id, page, s.start_at AS start_at, s.end_at AS end_at, strpos(substring(text, s.start_at + 1, s.end_at - s.start_at), '20') > 0 AS holds_year FROM s WHERE text IS NOT NULL""",
+    "join_positions_in_spans": _both(r"""WITH p AS (SELECT doc_id, unnest(pages) AS p FROM (SELECT DISTINCT ON (doc_id) doc_id, pages FROM {worker_document})), s AS (SELECT doc_id, p.page_number AS page, p.text AS text, unnest(p.volatile_spans) AS s FROM p)
+        SELECT doc_id, page, s.start_at AS start_at, s.end_at AS end_at, regexp_matches(substring(text, s.start_at + 1, s.end_at - s.start_at), '(^|[^0-9])([0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]|[0-9][0-9]?[./][0-9][0-9]?[./]([0-9][0-9])?[0-9][0-9])([^0-9]|$)') AS holds_date FROM s WHERE text IS NOT NULL""",
         """WITH d AS (SELECT doc_id, any_value(pages) AS pages FROM {worker_document} GROUP BY doc_id), p AS (SELECT doc_id, p FROM d LATERAL VIEW explode(pages) AS p), s AS (SELECT doc_id, p.page_number AS page, p.text AS text, s FROM p LATERAL VIEW explode(p.volatile_spans) AS s)
-        SELECT doc_id, page, s.start_at AS start_at, s.end_at AS end_at, instr(substring(text, s.start_at + 1, s.end_at - s.start_at), '20') > 0 AS holds_year FROM s WHERE text IS NOT NULL"""),
+        SELECT doc_id, page, s.start_at AS start_at, s.end_at AS end_at, substring(text, s.start_at + 1, s.end_at - s.start_at) RLIKE '(^|[^0-9])([0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]|[0-9][0-9]?[./][0-9][0-9]?[./]([0-9][0-9])?[0-9][0-9])([^0-9]|$)' AS holds_date FROM s WHERE text IS NOT NULL"""),
     "join_claims_with_items": _both("SELECT r.id, r.kind, t.document_type FROM (SELECT DISTINCT id, kind, to_value FROM {house_rules}) r LEFT JOIN (SELECT DISTINCT document_type FROM {expected_fixture}) t ON t.document_type = r.to_value"),
     # aggregations
     "agg_corpus_summary": _both("SELECT readiness, count(*) AS n, sum(CASE WHEN dated THEN 1 ELSE 0 END) AS dated, sum(CASE WHEN typed THEN 1 ELSE 0 END) AS typed, avg(n_parties) AS mean_parties FROM " + _SCORES_DUCK + " GROUP BY readiness",
@@ -79,21 +85,19 @@ PAIRS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "agg_grouped_summary": _both("SELECT CASE WHEN grouping(kind) = 0 THEN 'kind' WHEN grouping(readiness) = 0 THEN 'readiness' ELSE 'route' END AS dimension, coalesce(kind, readiness, route) AS member, count(*) AS n, sum(CASE WHEN dated THEN 1 ELSE 0 END) AS dated FROM " + _SCORES_DUCK + " GROUP BY GROUPING SETS ((kind), (readiness), (route))",
         "SELECT CASE WHEN grouping(kind) = 0 THEN 'kind' WHEN grouping(readiness) = 0 THEN 'readiness' ELSE 'route' END AS dimension, coalesce(kind, readiness, route) AS member, count(*) AS n, sum(CASE WHEN dated THEN 1 ELSE 0 END) AS dated FROM " + _SCORES + " GROUP BY GROUPING SETS ((kind), (readiness), (route))"),
     "agg_page_buckets": _both(f"SELECT {_BUCKET} AS bucket, count(*) AS n, sum(n) AS pages FROM {_PAPERS_DUCK} GROUP BY 1", f"SELECT {_BUCKET} AS bucket, count(*) AS n, sum(n) AS pages FROM {_PAPERS} GROUP BY 1"),
-    "agg_distribution": _both("SELECT event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, max(value) AS most, round(avg(value), 3) AS mean FROM {events} GROUP BY event_type",
-        "SELECT event_type, count(value) AS n, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.9) WITHIN GROUP (ORDER BY value) AS p90, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, max(value) AS most, round(avg(value), 3) AS mean FROM {events} GROUP BY event_type"),
-    "agg_upper_median": _both("SELECT user_id, list_sort(list(value))[len(list(value)) // 2 + 1] AS median FROM {events} WHERE value IS NOT NULL GROUP BY user_id",
-        # the upper median is a nearest rank just past one half, found without collecting a group
-        "SELECT user_id, max(CASE WHEN k = n div 2 + 1 THEN value END) AS median FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM {events} WHERE value IS NOT NULL) GROUP BY user_id"),
+    "agg_distribution": _both("SELECT event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, max(value) AS most, round(avg(value), 3) AS mean FROM {events} GROUP BY event_type"),
+    "agg_upper_median": _both("SELECT user_id, list_sort(list(value))[len(list(value)) // 2 + 1] AS median FROM {events} WHERE value IS NOT NULL GROUP BY user_id"),
     "agg_pooled_rates": _both("SELECT machine_id, sum(replacement) AS found, sum(chars) AS total, CASE WHEN sum(chars) > 0 THEN sum(replacement) * 1.0 / sum(chars) END AS rate FROM {page_signal} GROUP BY machine_id",
         "SELECT machine_id, sum(replacement) AS found, sum(chars) AS total, CASE WHEN sum(chars) > 0 THEN CAST(sum(replacement) AS DOUBLE) / sum(chars) END AS rate FROM {page_signal} GROUP BY machine_id"),
     "agg_route_confusion": _both("""WITH p AS (SELECT DISTINCT doc_id, page, route, CASE WHEN garbage > 15 THEN 'bad' ELSE 'fair' END AS seen FROM {page_signal})
         SELECT seen, count(CASE WHEN route = 'ocr' THEN 1 END) AS ocr, count(CASE WHEN route <> 'ocr' THEN 1 END) AS other FROM p GROUP BY seen"""),
-    "agg_memory_peaks": _both("SELECT source, max(n_chars) AS peak, quantile_disc(n_chars, 0.95) AS p95 FROM {documents} GROUP BY source", "SELECT source, max(n_chars) AS peak, percentile_disc(0.95) WITHIN GROUP (ORDER BY n_chars) AS p95 FROM {documents} GROUP BY source"),
+    "agg_memory_peaks": _both("SELECT source, max(n_chars) AS peak, quantile_disc(n_chars, 0.95) AS p95 FROM {documents} GROUP BY source"),
     "agg_having_repeated": _both("SELECT doc_id, count(*) AS n FROM {worker_document} GROUP BY doc_id HAVING count(*) > 1"),
     "agg_failure_run": _both("""WITH r AS (SELECT event_id, user_id, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM {events})
         SELECT user_id, run, count(*) AS length FROM r WHERE event_type <> 'purchase' GROUP BY user_id, run HAVING count(*) >= 3"""),
-    "agg_edit_distance": _both("SELECT DISTINCT id, levenshtein(lower(from_value), lower(to_value)) AS distance, length(to_value) AS length FROM {house_rules} WHERE from_value IS NOT NULL AND to_value IS NOT NULL AND regexp_full_match(from_value || to_value, '[ -~]*')",
-        "SELECT DISTINCT id, levenshtein(lower(from_value), lower(to_value)) AS distance, length(to_value) AS length FROM {house_rules} WHERE from_value IS NOT NULL AND to_value IS NOT NULL AND concat(from_value, to_value) RLIKE '^[ -~]*$'"),
+    # the oracle's distance counts bytes, so it gets letters with marks as single bytes
+    "agg_edit_distance": _both(f"SELECT DISTINCT id, levenshtein(translate(lower(from_value), '{_MARKED}', {_BYTES}), translate(lower(to_value), '{_MARKED}', {_BYTES})) AS distance, length(to_value) AS length FROM {{house_rules}} WHERE from_value IS NOT NULL AND to_value IS NOT NULL",
+        "SELECT DISTINCT id, levenshtein(lower(from_value), lower(to_value)) AS distance, length(to_value) AS length FROM {house_rules} WHERE from_value IS NOT NULL AND to_value IS NOT NULL"),
     # windows and ranking
     "window_newest_per_item": _both("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM {events}) WHERE k = 1"),
     "window_latest_of_kind": _both("SELECT user_id, max(event_id) AS newest, max(CASE WHEN event_type = 'purchase' THEN event_id END) AS complete, max(CASE WHEN event_type <> 'purchase' THEN event_id END) AS unsettled FROM {events} GROUP BY user_id"),
@@ -144,9 +148,7 @@ PAIRS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "agg_upper_percentiles": _both("""WITH r AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS k, count(*) OVER (PARTITION BY source) AS n FROM {documents} WHERE n_chars IS NOT NULL)
         SELECT source, max(n) AS n, min(n_chars) AS least, max(CASE WHEN k = floor(n / 2.0) + 1 THEN n_chars END) AS median, max(n_chars) AS most, CAST(floor(avg(n_chars)) AS BIGINT) AS mean FROM r GROUP BY source"""),
     "agg_all_distributions": _both("""WITH l AS (SELECT 'chars' AS metric, chars AS value FROM {page_signal} UNION ALL SELECT 'segments', segments FROM {page_signal} UNION ALL SELECT 'image_coverage', image_coverage FROM {page_signal} UNION ALL SELECT 'garbage', garbage FROM {page_signal})
-        SELECT metric, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, max(value) AS most, round(avg(value), 3) AS mean FROM l GROUP BY metric""",
-        """WITH l AS (SELECT stack(4, 'chars', chars, 'segments', segments, 'image_coverage', image_coverage, 'garbage', garbage) AS (metric, value) FROM {page_signal})
-        SELECT metric, count(value) AS n, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.9) WITHIN GROUP (ORDER BY value) AS p90, max(value) AS most, round(avg(value), 3) AS mean FROM l GROUP BY metric"""),
+        SELECT metric, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, max(value) AS most, round(avg(value), 3) AS mean FROM l GROUP BY metric"""),
     "agg_rate_delta": _both("""WITH d AS (SELECT user_id, date_trunc('day', ts) AS at_day, max(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) = 1 AND min(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) = 1 AS clean FROM {events} GROUP BY user_id, date_trunc('day', ts)),
         j AS (SELECT a.at_day, a.clean AS was, b.clean AS now_clean FROM d a JOIN d b ON a.user_id = b.user_id AND b.at_day = a.at_day + INTERVAL 1 DAY)
         SELECT at_day, count(*) AS n, sum(CASE WHEN was THEN 1 ELSE 0 END) AS before_clean, sum(CASE WHEN now_clean THEN 1 ELSE 0 END) AS after_clean, sum(CASE WHEN NOT was AND now_clean THEN 1 ELSE 0 END) AS fixed, sum(CASE WHEN was AND NOT now_clean THEN 1 ELSE 0 END) AS broken FROM j GROUP BY at_day"""),
@@ -165,5 +167,41 @@ PAIRS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "join_awaiting_mark": _both("""WITH n AS (SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM {events} WHERE event_type IN ('purchase', 'signup')) WHERE k = 1)
         SELECT u.user_id, coalesce(n.event_type, 'none') AS mark FROM (SELECT DISTINCT user_id FROM {events}) u LEFT JOIN n ON n.user_id = u.user_id WHERE coalesce(n.event_type, 'none') <> 'purchase'"""),
 }
-QUERIES = {n: p[0] for n, p in PAIRS.items()}
+
+
+def agg_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distribution of the values of each kind of event."""
+    found = distributions(table(spark, sf_dir, "events"), "event_type", "value")
+    return found.select(F.col("dimension").alias("event_type"), "n", "p50", "p90", "p95", F.col("max").alias("most"), "mean")
+
+
+def agg_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upper median of the values of each user."""
+    return ranks.ranked(table(spark, sf_dir, "events"), ["user_id"], "value", {"median": ranks.upper_median}).select("user_id", "median")
+
+
+def agg_memory_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest size and 95th percentile of each source."""
+    found = ranks.ranked(table(spark, sf_dir, "documents"), ["source"], "n_chars", {"p95": ranks.nearest(0.95)})
+    return found.select("source", F.col("most").alias("peak"), "p95")
+
+
+def agg_upper_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least, upper median, most and floored mean of the sizes of each source."""
+    found = ranks.ranked(table(spark, sf_dir, "documents"), ["source"], "n_chars", {"median": ranks.upper_median})
+    return found.select("source", "n", "least", "median", "most", F.floor("mean").cast("bigint").alias("mean"))
+
+
+def agg_all_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distributions of several figures of pages at once."""
+    metrics = "chars", "segments", "image_coverage", "garbage"
+    long = table(spark, sf_dir, "page_signal").select(F.expr(f"stack({len(metrics)}, {', '.join(f'{m!r}, {m}' for m in metrics)}) AS (metric, value)"))
+    found = ranks.ranked(long, ["metric"], "value", {"p50": ranks.nearest(0.5), "p90": ranks.nearest(0.9)})
+    return found.select("metric", "n", "p50", "p90", "most", F.round("mean", 3).alias("mean"))
+
+
+QUERIES = {n: p[0] for n, p in PAIRS.items()} | {
+    "agg_distribution": agg_distribution, "agg_upper_median": agg_upper_median, "agg_memory_peaks": agg_memory_peaks, "agg_upper_percentiles": agg_upper_percentiles,
+    "agg_all_distributions": agg_all_distributions,
+}
 ORACLE_SQL = {n: p[1] for n, p in PAIRS.items()}

@@ -18,7 +18,7 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures since the last success per item, from a state per item."""
-    found = intake.drained(intake.failure_counts(intake.event_stream(spark, sf_dir)), "failure_counts", "update")
+    found = intake.drained(intake.failure_counts(intake.event_stream(spark, sf_dir)), "failure_counts", "update", ["user_id"])
     return found
 
 

@@ -59,12 +59,28 @@ def files_at_rest(listings: DataFrame, quiet: float = 10.0) -> DataFrame:
     )
 
 
-def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """What a stream gives for all input that is there now."""
-    name = f"{name}_{uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{checkpoint_dir(stream.sparkSession)}/streams/{name}").trigger(availableNow=True).start()
+def drained(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream gives for all input that is there now, written by the executors to the shared folder.
+
+    ``complete`` keeps the last batch; ``update`` the newest row of each of ``keys``; ``append`` all rows.
+    """
+    spark = stream.sparkSession
+    base = f"{checkpoint_dir(spark)}/streams/{name}_{uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if query.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.select("*", F.lit(0).cast("bigint").alias("batch")).schema).parquet(f"{base}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    elif mode == "update":
+        value = [c for c in stream.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*value), "batch").alias("newest")).select(*keys, "newest.*")
+    return rows.select(*stream.columns)
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

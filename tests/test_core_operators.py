@@ -64,3 +64,43 @@ def test_longest_increasing_equals_brute_force():
         v = [rng.randrange(8) for _ in range(8)]
         best = max((bin(m).count("1") for m in range(256) if (s := [x for k, x in enumerate(v) if m >> k & 1]) == sorted(set(s))), default=0)
         assert evaluation.longest_increasing(v) == best
+
+
+def test_bands_hold_all_pairs_whatever_their_number():
+    import random
+    from itertools import combinations
+
+    rng = random.Random(2)
+    for n in (10, 10**5, 10**7, 10**9, 10**12):
+        blocks, take = simhash.bands_for(n, 6)
+        assert blocks - take == 6
+        edges = [64 * k // blocks for k in range(blocks + 1)]
+        for _ in range(50):
+            spoilt = {max(b for b in range(blocks) if edges[b] <= bit) for bit in rng.sample(range(64), 6)}
+            assert any(not spoilt & set(c) for c in combinations(range(blocks), take))
+
+
+def test_members_of_near_classes(spark):
+    rows = [(1, 5), (2, 5), (3, 7), (4, -1), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, fingerprint bigint")
+    pairs = simhash.near_classes(df, "doc_id")
+    got = sorted(map(tuple, simhash.near_members(df, "doc_id", pairs).collect()))
+    assert got == [(1, 1, 2, 1), (2, 1, 2, 1), (3, 3, 1, 1), (4, 4, 1, 0)]
+
+
+def test_ranks_equal_sorting(spark):
+    import math
+    import random
+
+    from paperloom.operators import ranks
+
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, float("nan"), 1.0, rng.random(), rng.random()])) for _ in range(3000)] + [("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in ranks.ranked(df, ["g"], "v", {"p10": ranks.nearest(0.1), "p95": ranks.nearest(0.95), "median": ranks.upper_median}).collect()}
+    assert set(got) == {"a", "b", None}
+    for g, r in got.items():
+        own = sorted(v for k, v in rows if k == g and v is not None and not math.isnan(v))
+        assert (r.n, r.least, r.most) == (len(own), own[0], own[-1]) and abs(r["mean"] - sum(own) / len(own)) < 1e-9
+        assert (r.p10, r.p95, r.median) == (own[math.ceil(0.1 * len(own)) - 1], own[math.ceil(0.95 * len(own)) - 1], own[len(own) // 2])
+    assert ranks.ranked(df.limit(0), ["g"], "v", {"p": ranks.nearest(0.5)}).count() == 0
