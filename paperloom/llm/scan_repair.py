@@ -92,6 +92,13 @@ def page_value(text: str) -> tuple[int | None, bool] | None:
     return int(m.group("a")), bool(m.group("word") or m.group("of")) or not raw[0].isdigit()
 
 
+def letter_bags(shapes: list[str]) -> np.ndarray:
+    """How often each letter, in 64 classes, stands in each shape."""
+    points = np.frombuffer("".join(shapes).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % 64
+    of = np.repeat(np.arange(len(shapes)), [len(s) for s in shapes])
+    return np.bincount(of * 64 + points, minlength=64 * len(shapes)).reshape(-1, 64)
+
+
 def edge_noise(pages: dict[int, list[str]]) -> dict[tuple[int, int], str]:
     """(page, line index) to ``running`` or ``page_number`` for a document's lines by page."""
     edges: dict[int, tuple[list[int], list[int]]] = {}
@@ -116,15 +123,21 @@ def edge_noise(pages: dict[int, list[str]]) -> dict[tuple[int, int], str]:
     # shapes that differ by a misread character or two are one
     if len(pages) >= RETURNS:
         ordered = sorted(shapes, key=lambda s: (-len({p for p, _ in shapes[s]}), s))
-        by_length: dict[int, list[str]] = defaultdict(list)
+        by_length: dict[int, list[int]] = defaultdict(list)
         groups: dict[str, str] = {}
-        for s in ordered:
-            lost = s.count(LOST)
-            slack = 1 + lost + len(s) // 16
-            near = next((h for d in range(-slack, slack + 1) for h in by_length[len(s) + d] if distance(s, h, slack) <= slack), None) if len(s) >= 6 else None
+        bags = letter_bags(ordered)
+        for k, s in enumerate(ordered):
+            near = None
+            if len(s) >= 6:
+                slack = 1 + s.count(LOST) + len(s) // 16
+                heads = np.array([h for d in range(-slack, slack + 1) for h in by_length.get(len(s) + d, ())], np.int64)
+                # an edit changes two counts of letters at most, one up and one down
+                over = bags[heads] - bags[k]
+                heads = heads[np.maximum(np.maximum(over, 0).sum(axis=1), np.maximum(-over, 0).sum(axis=1)) <= slack]
+                near = next((ordered[h] for h in heads.tolist() if distance(s, ordered[h], slack) <= slack), None)
             groups[s] = near or s
             if near is None:
-                by_length[len(s)].append(s)
+                by_length[len(s)].append(k)
         places_of: dict[str, set[tuple[int, int]]] = defaultdict(set)
         for s, h in groups.items():
             places_of[h] |= shapes[s]
