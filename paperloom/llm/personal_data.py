@@ -6,11 +6,15 @@ people (a given name or initial with a family name, in either order).
 
 Method of replacement: surrogate generation. Every distinct entity gets a
 replacement drawn with a keyed hash, so it is the same wherever the entity is
-mentioned (coreference) and can't be traced back without the key. A replacement
-has the kind and form of what it replaces: people keep gender, script, letter
-case, initials and order, numbers keep their punctuation, mail addresses the way
-they are disguised. Replacements that fall on one another or on a real entity
-are drawn again until all are distinct.
+mentioned (coreference) and can't be traced back without the key. A title is no
+part of a name; a nickname stands for its full name where only one has it, and a
+nickname that several have, or an initial, for the one person of that family
+named in full in the same text, if there is one only. A replacement has the kind
+and form of what it replaces: people keep gender, script, letter case, initials
+and order, numbers keep their punctuation, mail addresses the way they are
+disguised. Replacements that fall on one another or on a real entity are drawn
+again, from a range that grows with each round, until all are distinct; family
+names are, too, so that initials don't confuse two people.
 
 Defined results: positions count Unicode code points; null and empty texts have
 no mentions and come back as they are; overlapping finds are settled in the
@@ -230,9 +234,15 @@ ENDS = "bank brook cote dale field ford gate ham land ley mere ridge shaw ton wi
 STREETS = "Amberley Bracken Chantry Dovecote Elderberry Fennel Gorse Heron Inglenook Jasmine Kestrel Linnet Meadow Nightjar Osprey Primrose Quince Rowan Sorrel Teasel Umber Vetch Willow Yarrow".split()
 
 
+#: Rounds in which numbers stay in the format of their entity; one that is still taken then gets further digits.
+FORMAT_ROUNDS = 12
+#: Mentions of an entity that one part of a join holds.
+PART = 50_000
+
+
 def draw(key: bytes, *parts: object) -> int:
     """A large number that depends on the key and all parts."""
-    return int.from_bytes(hmac.new(key, "\x1f".join(map(str, parts)).encode(), hashlib.sha256).digest()[:16], "big")
+    return int.from_bytes(hmac.new(key, "\x1f".join(map(str, parts)).encode(), hashlib.sha512).digest(), "big")
 
 
 def identity(kind: str, value: str) -> str:
@@ -244,14 +254,38 @@ def identity(kind: str, value: str) -> str:
     if kind in ("phone", "id_number"):
         return re.sub(r"[^a-z0-9]", "", low)
     if kind == "person":
-        first, family = person_parts(value)
-        first = first.lower()
-        return f"{min(CALLED.get(first, {first}))} {family.lower()}"
+        first, family = (x.lower() for x in person_parts(value))
+        full = CALLED.get(first, {first})
+        return f"{next(iter(full)) if len(full) == 1 else first} {family}"
     return low
 
 
+def entities(text: str, spans: list[tuple[int, int, str]]) -> list[str]:
+    """The entity of each mention of a text; names given in part are those of the one person whom they fit there."""
+    found = [identity(kind, text[a:b]) for a, b, kind in spans]
+    named = [tuple(x.lower() for x in person_parts(text[a:b])) if kind == "person" else ("", "") for a, b, kind in spans]
+    people: dict[str, set[tuple[str, str]]] = {}
+    for entity, (given, family) in zip(found, named):
+        if len(given) > 1:
+            people.setdefault(family, set()).add((given, entity))
+    for k, (given, family) in enumerate(named):
+        if len(given) == 1:
+            fits = {e for g, e in people.get(family, ()) if g[0] == given}
+        elif len(CALLED.get(given, ())) > 1:
+            fits = {e for g, e in people.get(family, ()) if g in CALLED[given] and g != given}
+        else:
+            continue
+        if len(fits) == 1:
+            found[k] = fits.pop()
+    return found
+
+
+_TITLE = re.compile(r"^(?:(?:" + "|".join(sorted(TITLES - {"m"})) + r")\b\.?\s+)+(?=\S+\s)", re.I)
+
+
 def person_parts(value: str) -> tuple[str, str]:
-    """(given name or initial, family name) of a mention."""
+    """(given name or initial, family name) of a mention, without titles."""
+    value = _TITLE.sub("", value.strip())
     if "," in value:
         family, _, rest = value.partition(",")
         return rest.split()[0].strip("."), family.strip()
@@ -263,27 +297,35 @@ def replacement(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """The identity of the surrogate of an entity; forms are given to it per mention."""
     n = draw(key, kind, entity, attempt)
     if kind == "person":
-        given, family = entity.split(" ", 1) if " " in entity else (entity, "")
-        names = FEMALE if given in FEMALE_GIVEN else MALE if given in NICKNAMES else FEMALE + MALE
-        if len(given) == 1:
-            names = [x for x in FEMALE + MALE if x[0].lower() == given] or names
-        # the family name is drawn from the family name alone, so relatives stay relatives
-        f = draw(key, "family", family, attempt)
+        given = entity.split(" ", 1)[0]
+        names = [x for x in FEMALE + MALE if x[0].lower() == given] if len(given) == 1 else []
+        full = CALLED.get(given, {given})
+        if full <= FEMALE_GIVEN:
+            names = FEMALE
+        elif full <= set(NICKNAMES) - FEMALE_GIVEN:
+            names = MALE
+        n, g = divmod(n, 1 << 16)
+        names = names or FEMALE + MALE
         parts = []
-        for _ in range(3):
-            f, k = divmod(f, len(PARTS))
+        for _ in range(4 + attempt):
+            n, k = divmod(n, len(PARTS))
             parts.append(PARTS[k])
-        return f"{names[n % len(names)]} {''.join(parts).capitalize()}{ENDS[f % len(ENDS)]}"
+        return f"{names[g % len(names)]} {''.join(parts).capitalize()}{ENDS[n % len(ENDS)]}"
     if kind == "email":
         n, a = divmod(n, len(PARTS))
         n, b = divmod(n, len(ENDS))
-        return f"{PARTS[a]}.{n % 10**8:08d}@{ENDS[b]}.invalid"
+        digits = 10 + attempt
+        return f"{PARTS[a]}.{n % 10**digits:0{digits}d}@{ENDS[b]}.invalid"
     if kind == "street_address":
         n, a = divmod(n, len(STREETS))
-        n, b = divmod(n, len(PARTS))
-        return f"{n % 9000 + 1000} {PARTS[b].capitalize()}{STREETS[a].lower()}"
+        n, house = divmod(n, 9000)
+        parts = []
+        for _ in range(2 + attempt):
+            n, k = divmod(n, len(PARTS))
+            parts.append(PARTS[k])
+        return f"{house + 1000} {''.join(parts).capitalize()}{STREETS[a].lower()}"
     out, led = [], False
-    for c in entity:
+    for c in entity + "9" * max(0, attempt - FORMAT_ROUNDS):
         # leading zeros and a first digit that isn't low keep a number of the same type readable as one
         n, d = divmod(n, (10 if led else 8) if c.isdigit() else 26)
         out.append("0" if c == "0" and not led else str(d if led else d + 2) if c.isdigit() else chr(97 + d))
@@ -334,7 +376,8 @@ def in_form(kind: str, value: str, surrogate: str) -> str:
                 out.append(token)
         return re.sub(r"(\s)\s+", r"\1", "".join(out))
     letters = iter(surrogate)
-    return "".join((next(letters, "0").upper() if c.isupper() else next(letters, "0")) if c.isascii() and c.isalnum() else c for c in value)
+    made = "".join((next(letters, "0").upper() if c.isupper() else next(letters, "0")) if c.isascii() and c.isalnum() else c for c in value)
+    return made + "".join(letters)
 
 
 def _in_script(like: str, text: str) -> str:
@@ -352,11 +395,10 @@ def find_mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, start_pos, end_pos, pii_kind, mention, entity: one row per mention in each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (k, a, b, kind, text[a:b], identity(kind, text[a:b]))
-                for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                for a, b, kind in mentions(text)
-            ]
+            rows = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                spans = mentions(text)
+                rows += [(k, a, b, kind, text[a:b], entity) for (a, b, kind), entity in zip(spans, entities(text, spans))]
             columns = list(zip(*rows)) if rows else [[]] * 6
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k", "start_pos", "end_pos", "pii_kind", "mention", "entity"])
@@ -365,27 +407,45 @@ def find_mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, _MENTION).withColumn("k", F.col("k").cast(dict(df.dtypes)[id_col])).withColumnRenamed("k", id_col)
 
 
-def surrogates(entities: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
-    """pii_kind, entity, surrogate: distinct replacements for all distinct entities, none of them a real one."""
+def surrogates(entities: DataFrame, key: bytes, rounds: int | None = None) -> DataFrame:
+    """pii_kind, entity, surrogate: distinct replacements for all distinct entities, none of them a real one.
+
+    Only replacements that clash are drawn again, each time from a wider range, so it ends however many entities there are.
+    """
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, names, tries = (c.to_pylist() for c in batch.columns)
             made = [replacement(key, *row) for row in zip(kinds, names, tries)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(made, pa.string()), pa.array([identity(k, m) for k, m in zip(kinds, made)], pa.string())], names=["pii_kind", "entity", "attempt", "surrogate", "as_entity"])
+            whole = [identity(k, m) for k, m in zip(kinds, made)]
+            told = [m.split(" ", 1)[-1] if k == "person" else w for k, m, w in zip(kinds, made, whole)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(x, pa.string()) for x in (made, whole, told))], names=["pii_kind", "entity", "attempt", "surrogate", "as_entity", "told_by"])
 
-    schema = "pii_kind string, entity string, attempt int, surrogate string, as_entity string"
+    schema = "pii_kind string, entity string, attempt int, surrogate string, as_entity string, told_by string"
     pending = checkpointed(entities.select("pii_kind", "entity").distinct().withColumn("attempt", F.lit(0)).mapInArrow(drawn, schema))
-    for _ in range(rounds):
+    n = 0
+    while True:
+        n += 1
         real = pending.select("pii_kind", F.col("entity").alias("as_entity"), F.lit(True).alias("real"))
-        first = pending.groupBy("pii_kind", "as_entity").agg(F.min("entity").alias("keeps"), F.count("*").alias("n"))
-        judged = pending.join(first, ["pii_kind", "as_entity"]).join(real, ["pii_kind", "as_entity"], "left")
-        bad = (F.col("real").isNotNull()) | ((F.col("n") > 1) & (F.col("entity") != F.col("keeps")))
-        judged = checkpointed(judged.select("pii_kind", "entity", "attempt", "surrogate", "as_entity", bad.alias("bad")))
+        # one that stood before keeps its place against those drawn later
+        first = pending.groupBy("pii_kind", "told_by").agg(F.min(F.struct("attempt", "entity")).alias("keeps"))
+        judged = pending.join(first, ["pii_kind", "told_by"]).join(real, ["pii_kind", "as_entity"], "left")
+        judged = checkpointed(judged.select("pii_kind", "entity", "attempt", "surrogate", "as_entity", "told_by", (F.col("real").isNotNull() | (F.col("entity") != F.col("keeps.entity"))).alias("bad")))
         if not judged.where("bad").limit(1).count():
             return judged.select("pii_kind", "entity", "surrogate")
+        if rounds and n >= rounds:
+            raise RuntimeError("replacements didn't become distinct")
         again = judged.where("bad").select("pii_kind", "entity", (F.col("attempt") + 1).cast("int").alias("attempt")).mapInArrow(drawn, schema)
         pending = checkpointed(judged.where("NOT bad").drop("bad").unionByName(again))
-    raise RuntimeError("replacements didn't become distinct")
+
+
+def with_surrogates(found: DataFrame, made: DataFrame) -> DataFrame:
+    """Mentions with the surrogates of their entities; an entity of many mentions is met in parts."""
+    keys = ["pii_kind", "entity"]
+    sizes = found.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    hot = F.broadcast(sizes.where("parts > 1"))  # at most one entity in PART mentions
+    asked = found.join(hot, keys, "left").withColumn("part", F.pmod(F.xxhash64("start_pos", "mention", F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    answers = made.join(hot, keys, "left").select(*keys, "surrogate", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return asked.join(answers, [*keys, "part"]).drop("part")
 
 
 def replaced(df: DataFrame, id_col: str, text_col: str, key: bytes) -> DataFrame:
@@ -395,7 +455,7 @@ def replaced(df: DataFrame, id_col: str, text_col: str, key: bytes) -> DataFrame
     """
     texts = df.select(id_col, text_col).dropDuplicates([id_col])
     found = checkpointed(find_mentions(texts, id_col, text_col))
-    made = found.join(surrogates(found, key), ["pii_kind", "entity"]).groupBy(id_col).agg(
+    made = with_surrogates(found, surrogates(found, key)).groupBy(id_col).agg(
         F.collect_list(F.struct("start_pos", "end_pos", "pii_kind", "mention", "entity", "surrogate")).alias("found")
     )
     kind = dict(df.dtypes)[id_col]
@@ -411,7 +471,7 @@ def replaced(df: DataFrame, id_col: str, text_col: str, key: bytes) -> DataFrame
                 at, a, b = 0, [], []
                 for f in sorted(finds, key=lambda f: f["start_pos"]):
                     before = text[at : f["start_pos"]]
-                    a += [before, f"[{f['pii_kind'].upper()}-{draw(key, 'tag', f['pii_kind'], f['entity']) % 16**8:08x}]"]
+                    a += [before, f"[{f['pii_kind'].upper()}-{draw(key, 'tag', f['pii_kind'], f['entity']) % 16**32:032x}]"]
                     b += [before, in_form(f["pii_kind"], f["mention"], f["surrogate"])]
                     at = f["end_pos"]
                 marked.append("".join(a) + text[at:])

@@ -67,3 +67,38 @@ def test_random_text_spans_are_in_order():
         t = "".join(rng.choice(["Nora ", "Kadmul, ", "+1 ", "555", "-", "01", " ", "a@b.co", "S. ", "12 ", "Road", "\n", "é", "😀"]) for _ in range(40))
         m = pd.mentions(t)
         assert all(a < b for a, b, _ in m) and all(x[1] <= y[0] for x, y in zip(m, m[1:]))
+
+
+def entities(text):
+    return [e for e, (_, _, k) in zip(pd.entities(text, pd.mentions(text)), pd.mentions(text)) if k == "person"]
+
+
+def test_people_are_told_apart_and_kept_together():
+    assert len(set(entities("Rick Smith met Fred Smith."))) == 2
+    assert entities("Rick Smith is Richard Smith.") == ["richard smith"] * 2
+    assert len(set(entities("Harry Hill met Harold Hill and Henry Hill."))) == 3
+    assert entities("John Smith signed. J. Smith left.") == ["john smith"] * 2
+    assert entities("John Smith, James Smith and J. Smith")[-1] == "j smith"
+    assert entities("Bob Marrow and Robert Marrow") == ["robert marrow"] * 2
+    assert entities("Alex Roe is Alexandra Roe") == ["alexandra roe"] * 2
+    assert pd.identity("person", "Dr Chris Poe") == pd.identity("person", "Chris Poe")
+
+
+def test_generator_is_distinct_for_many_entities():
+    seen = [set(), set(), set()]
+    for n in range(200_000):
+        for kind, told in zip(("person", "street_address", "email"), seen):
+            # what a round leaves for the next is a small share, and ranges grow with rounds
+            told.add(pd.replacement(b"k", kind, f"anna name{n}" if kind == "person" else f"{n}", 3).split(" ", 1)[-1])
+    assert [len(s) for s in seen][0] > 199_000 and len(seen[2]) == 200_000 and len(seen[1]) > 190_000
+    numbers = {pd.replacement(b"k", "id_number", f"{n:09d}", pd.FORMAT_ROUNDS + 5) for n in range(20_000)}
+    assert len(numbers) > 19_990 and all(len(x) == 14 for x in numbers)
+
+
+def test_hot_entities_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(pd, "PART", 10)
+    rows = [(n, 0, 9, "email", "a@b.co", "a@b.co") for n in range(95)] + [(100, 3, 5, "email", "c@d.co", "c@d.co")]
+    found = spark.createDataFrame(rows, "id int, start_pos int, end_pos int, pii_kind string, mention string, entity string")
+    made = spark.createDataFrame([("email", "a@b.co", "x"), ("email", "c@d.co", "y")], "pii_kind string, entity string, surrogate string")
+    got = pd.with_surrogates(found, made).collect()
+    assert len(got) == 96 and {(r.entity, r.surrogate) for r in got} == {("a@b.co", "x"), ("c@d.co", "y")}
