@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import dates as D
-from paperloom.functions import text as T
+from paperloom.functions import text as T, wording as W
 from paperloom.plans.scalars import _LINES, TERMS_SQL, documents, lines
+from paperloom.plans.wording import _LOOSE, _WHOLE
 from paperloom.session import table
 
 #: Words that end the name of an organisation (fixed values, compared without case and points).
@@ -70,9 +71,9 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def party_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does each party of a reply stand in its document?"""
+    """Does each party of a reply stand in its document, as whole words and whatever its punctuation?"""
     asked = _replies(spark, sf_dir).select("message_id", "doc_id", F.explode(F.array_distinct("parties")).alias("party"))
-    return asked.join(_texts(spark, sf_dir), "doc_id").select("message_id", "party", F.col("t").contains(T.collapse_whitespace(F.lower("party"))).alias("supported"))
+    return asked.join(_texts(spark, sf_dir), "doc_id").select("message_id", "party", W.contains_whole(W.loosely(F.col("t")), W.loosely(F.col("party"))).alias("supported"))
 
 
 def spellings(iso: Column) -> Column:
@@ -127,7 +128,7 @@ QUERIES = {n: _line_query(v) for n, (v, _) in _LINE_QUERIES.items()} | {
 }
 ORACLE_SQL = {n: f"SELECT doc_id, line_no, {sql} AS value FROM {_LINES}" for n, (_, sql) in _LINE_QUERIES.items()} | {
     "reply_fields": f"WITH {_R} SELECT message_id, document_type, document_date, subject, array_to_string(parties, '; ') AS parties FROM r",
-    "party_support": f"WITH {_R}, {_T}, a AS (SELECT message_id, doc_id, unnest(list_distinct(parties)) AS party FROM r) SELECT message_id, party, contains(t, trim(regexp_replace(lower(party), '[ \\t\\r\\n\\x0B\\f]+', ' ', 'g'))) AS supported FROM a JOIN t USING (doc_id)",
+    "party_support": f"WITH {_R}, {_T}, a AS (SELECT message_id, doc_id, unnest(list_distinct(parties)) AS party FROM r) SELECT message_id, party, {_WHOLE.format(_LOOSE.format('t'), _LOOSE.format('party'))} AS supported FROM a JOIN t USING (doc_id)",
     "date_spellings": f"SELECT fixture_id, unnest({_SPELLED}) AS spelling FROM (SELECT DISTINCT fixture_id, document_date FROM expected_fixture) WHERE try_cast(document_date AS DATE) IS NOT NULL",
     "date_support": f"WITH {_R}, {_T} SELECT message_id, document_date, len(list_filter({_SPELLED}, lambda s: contains(t, s))) > 0 AS supported FROM r JOIN t USING (doc_id) WHERE try_cast(document_date AS DATE) IS NOT NULL",
     "type_support": f"WITH {_R}, {_T}, a AS (SELECT message_id, doc_id, document_type, list_distinct({TERMS_SQL.format('document_type')}) AS w FROM r WHERE document_type IS NOT NULL) SELECT message_id, document_type, len(list_intersect(w, {TERMS_SQL.format('t')})) * 10 >= len(w) * 6 AS supported FROM a JOIN t USING (doc_id) WHERE len(w) > 0",
