@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that define QUERIES and ORACLE_SQL.
-MODULES = ["packed", "scalars", "documents", "relational", "streams", "entities", "wording", "evidence"]
+MODULES = ["packed", "scalars", "documents", "relational", "streams", "entities", "wording", "evidence", "scoring"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
