@@ -299,6 +299,19 @@ def given_fits(a: str, b: str) -> str:
     return ""
 
 
+@lru_cache(maxsize=50_000)
+def given_keys(given: str) -> frozenset[str]:
+    """Keys of a given name; names that :func:`given_fits` share one: a full form, an initial, the start of a pet form, or a form less one letter."""
+    called = CALLED.get(given, {given})
+    if len(given) < 2:
+        return frozenset({f"i{given}", f"={given}"})
+    keys = {f"={given}", *(f"={n}" for n in called), f"i{given[0]}", *(f"i{n[0]}" for n in called), f"p{given[:3]}"}
+    for n in {given, *called}:
+        keys.add(f"d{n}")
+        keys.update(f"d{n[:k]}{n[k + 1 :]}" for k in range(len(n)))
+    return frozenset(keys)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -339,24 +352,39 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> None:
         if len({r[0] for r in rows}) < 2 or not any(r[4] for r in rows):
             return
+        # each spelling of a family walks once, and meets only the given names that share a key with its own
         trie, wordy = Trie(), []
-        for node, _, given, letters, _, held, words in rows:
-            if words and held:
+        held: dict[str, dict[str, list[tuple[str, str]]]] = {}
+        walking: dict[str, list[tuple[str, str, str]]] = {}
+        for node, key, given, letters, walks, holds, words in rows:
+            if words and holds:
                 wordy.append((node, given, words))
-            elif held:
-                trie.add(letters, (node, given, letters))
-        for node, key, given, letters, walks, _, _ in rows:
-            if not walks:
-                continue
+            elif holds:
+                if letters not in held:
+                    held[letters] = {}
+                    trie.add(letters, letters)
+                for k in given_keys(given) if key else ("",):
+                    held[letters].setdefault(k, []).append((node, given))
+            if walks:
+                walking.setdefault(letters, []).append((node, key, given))
+        for letters, walkers in walking.items():
             most = 2 if len(letters) >= LONG else 1
-            near = list(trie.within(letters, most)) if trie.root else []
-            near += [((other, other_given, text), edits) for other, other_given, words in wordy if other != node for text, edits in orders_within(words, letters, most)]
-            for (other, other_given, text), edits in near:
-                if other == node or not same_letters(letters, text, edits):
-                    continue
-                fit = "same" if not key else given_fits(given, other_given)
-                if fit:
-                    out.append((min(node, other), max(node, other), fit))
+            near = [(text, edits) for text, edits in trie.within(letters, most) if same_letters(letters, text, edits)] if trie.root else []
+            for node, key, given in walkers:
+                met: set[tuple[str, str]] = set()
+                for text, _ in near:
+                    for k in given_keys(given) if key else ("",):
+                        met.update(held[text].get(k, ()))
+                for other, other_given in met:
+                    fit = given_fits(given, other_given) if key else "same"
+                    if other != node and fit:
+                        out.append((min(node, other), max(node, other), fit))
+            for other, other_given, words in wordy:
+                if any(same_letters(letters, text, edits) for text, edits in orders_within(words, letters, most)):
+                    for node, key, given in walkers:
+                        fit = given_fits(given, other_given) if key else "same"
+                        if other != node and fit:
+                            out.append((min(node, other), max(node, other), fit))
 
     for batch in batches:
         for s, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -377,7 +405,7 @@ def _link_batch(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*unique)], names=["a", "b", "fit"])
 
 
-def components(links: DataFrame, rounds: int = 30) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, root: the least node of each component of the links (a, b).
 
     Each round takes the least root among a node's neighbours and then the root of
@@ -386,7 +414,7 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
     both = checkpointed(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct())
     roots = both.groupBy("node").agg(F.least("node", F.min("other")).alias("root"))
     roots = checkpointed(roots)
-    for _ in range(rounds):
+    while True:  # the longest chain shrinks by half each round, so it ends
         heard = both.join(roots.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("heard"))
         nearer = roots.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
         of_root = roots.select(F.col("node").alias("root"), F.col("root").alias("higher"))
@@ -394,10 +422,7 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
         changed = new.where("root <> old").limit(1).count()
         roots = new.select("node", "root")
         if not changed:
-            break
-    else:
-        raise RuntimeError("components didn't settle")
-    return roots
+            return roots
 
 
 def parties(spellings: DataFrame) -> DataFrame:
