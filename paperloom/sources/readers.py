@@ -8,7 +8,7 @@ from email import policy
 from email.parser import BytesParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -42,12 +42,23 @@ def sniff_delimiter(raw: bytes) -> str:
     return max(DELIMITERS, key=evenness)
 
 
+#: How the names of our own exports begin; they are never read back as documents.
+OWN_EXPORTS = "paperloom-history"
+
+
+def is_own_export(name: Column, stem: str = OWN_EXPORTS) -> Column:
+    """Is a file an export of ours, whatever the case of its name?"""
+    return F.lower(name).startswith(stem) & F.lower(name).endswith(".csv")
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """Supported files below a folder: path, name, length, modified, content."""
+    """Supported files below a folder but for our own exports: path, name, length, modified, content."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     supported = [e for group in T.READERS.values() for e in group]
-    return listed.select("path", name.alias("name"), "length", F.col("modificationTime").alias("modified"), "content").where(T.extension(F.col("name")).isin(supported) & ~F.col("name").startswith("."))
+    return listed.select("path", name.alias("name"), "length", F.col("modificationTime").alias("modified"), "content").where(
+        T.extension(F.col("name")).isin(supported) & ~F.col("name").startswith(".") & ~is_own_export(F.col("name"))
+    )
 
 
 def read_text(found: DataFrame) -> DataFrame:
@@ -101,3 +112,15 @@ def tsv_of(block: list[list[str]]) -> str:
     guarded = [["'" + c if c[:1] in "=+-@\t\r" and c else c for c in row] for row in block]
     csv.writer(out, delimiter="\t", lineterminator="\r\n").writerows(guarded)
     return out.getvalue()
+
+
+def read_versioned(spark: SparkSession, path: str, schema: str, version: int, key: str = "id") -> DataFrame:
+    """Records of a JSON-lines file that all carry ``schema_version`` and their own ``key``; anything else in it is an error."""
+    rows = read_json_lines(spark, path, f"schema_version int, {schema}")
+    bad = rows.select(F.count(F.when(F.col("broken").isNotNull() | F.col(key).isNull() | ~F.col("schema_version").eqNullSafe(version), 1)).alias("bad")).first().bad
+    if bad:
+        raise ValueError(f"{bad} records of {path} aren't of version {version} with a {key}")
+    twice = rows.groupBy(key).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{key} {twice[0][0]} stands twice in {path}")
+    return rows.drop("schema_version", "broken")

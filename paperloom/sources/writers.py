@@ -23,6 +23,21 @@ def json_report(figures: DataFrame, keys: list[str]) -> str:
     return json.dumps(rows, sort_keys=True, ensure_ascii=False, default=str, indent=1)
 
 
+def markdown_report(title: str, figures: DataFrame, keys: list[str]) -> str:
+    """A bounded table of aggregates as a Markdown page; bars and line ends in cells are escaped."""
+    def cell(v: object) -> str:
+        return "–" if v is None else f"{v:.4g}" if isinstance(v, float) else " ".join(str(v).split()).replace("|", "\\|")
+
+    rows = [[cell(r[c]) for c in figures.columns] for r in figures.orderBy(*keys).toLocalIterator()]
+    lines = [f"# {title}", "", "| " + " | ".join(map(cell, figures.columns)) + " |", "| " + " | ".join("---" for _ in figures.columns) + " |"]
+    return "\n".join([*lines, *("| " + " | ".join(r) + " |" for r in rows), ""])
+
+
+def write_versioned(df: DataFrame, path: str, version: int) -> None:
+    """Records as JSON lines, each with the version of its schema."""
+    df.select(F.lit(version).alias("schema_version"), "*").write.mode("overwrite").json(path)
+
+
 def upsert_ledger(spark: SparkSession, path: str, new: DataFrame, key: str = "record_key") -> DataFrame:
     """The ledger with new records in place of old ones of their key; the newest of a key wins."""
     fresh = new.groupBy(key).agg(F.max_by(F.struct(*[c for c in new.columns if c != key]), "filed_at").alias("r")).select(key, "r.*")
