@@ -386,14 +386,24 @@ def _counted(batches: Iterator[pa.RecordBatch], facts) -> Iterator[pa.RecordBatc
         yield out()
 
 
+def _total(facts: DataFrame) -> float:
+    return facts.where("what = 'end'").agg(F.sum("n")).first()[0] or 0
+
+
 def _model_of(facts: DataFrame) -> Model:
-    """The bounded part of the model, from a table (what, key, n)."""
-    total = facts.where("what = 'end'").agg(F.sum("n")).first()[0] or 0
+    """The bounded part of the model, from a table (what, key, n).
+
+    Each table collected has at most as many rows as ``KNOWN``, ``RARE`` and the kinds of shapes and delimiters allow.
+    """
+    total = _total(facts)
     model = Model(total=max(1, total))
     least, known = max(2, total // RARE), max(4, total // KNOWN)
-    bounded = ((F.col("what") == "end") & (F.col("n") >= known)) | ((F.col("what") == "value") & (F.col("n") >= least))
-    for r in facts.where(bounded).toLocalIterator():
-        (model.ends if r.what == "end" else model.hot)[r.key] = r.n
+    bounded = ((F.col("what") == "end") & (F.col("n") >= known)) | ((F.col("what") == "value") & (F.col("n") >= least)) | (F.col("what") == "cut")
+    for r in facts.where(bounded).collect():
+        if r.what == "cut":
+            model.cuts[tuple(json.loads(r.key))] = r.n
+        else:
+            (model.ends if r.what == "end" else model.hot)[r.key] = r.n
     # rare words are folded to one class before shapes are gathered, so only bounded tables reach the driver
     ends = list(model.ends)
     s = F.from_json("key", "array<string>")
@@ -402,18 +412,16 @@ def _model_of(facts: DataFrame) -> Model:
         s[5].alias("b"), "n"
     )
     kind = F.when(F.col("e") == "?", "?").otherwise("known")
-    for r in shapes.groupBy(kind.alias("k"), "f").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * known).toLocalIterator():
+    for r in shapes.groupBy(kind.alias("k"), "f").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * known).collect():
         model.starts[r.k, r.f] = r.n
         model.started[r.k] += r.n
     model.rare_ends = max(1, total - sum(model.ends.values()))
-    for r in shapes.groupBy("e", "w", "j", "c").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in shapes.groupBy("e", "w", "j", "c").agg(F.sum("n").alias("n")).collect():
         size = int(r.w), r.j == "true", r.c == "true"
         model.sizes[r.e, *size] += r.n
         model.kind_sizes["?" if r.e == "?" else "known", *size] += r.n
-    for r in shapes.select(F.explode(F.split("b", " ")).alias("b"), "n").where(F.col("b").isin(ends)).groupBy("b").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in shapes.select(F.explode(F.split("b", " ")).alias("b"), "n").where(F.col("b").isin(ends)).groupBy("b").agg(F.sum("n").alias("n")).collect():
         model.inner[r.b] = r.n
-    for r in facts.where("what = 'cut'").toLocalIterator():
-        model.cuts[tuple(json.loads(r.key))] = r.n
     return model
 
 
@@ -433,7 +441,8 @@ def split_values(df: DataFrame, key: str, packed: str, rounds: int = ROUNDS, out
     facts = summed(source.select("t").mapInArrow(lambda it: _counted(it, _initial), _FACTS))
     before = None
     for _ in range(rounds):
-        expected = _with_counts(source, facts).mapInArrow(lambda it, model=_model_of(facts): _counted(it, lambda _, t, found: _expected(t, found, model)), _FACTS)
+        model = _model_of(facts)
+        expected = _with_counts(source, facts, model.total).mapInArrow(lambda it, model=model: _counted(it, lambda _, t, found: _expected(t, found, model)), _FACTS)
         facts = summed(expected)
         likelihood = facts.where("what = 'likelihood'").agg(F.sum("n")).first()[0] or 0.0
         if before is not None and likelihood - before < SETTLED * abs(before):
@@ -446,7 +455,7 @@ def split_values(df: DataFrame, key: str, packed: str, rounds: int = ROUNDS, out
             values = [list(_values(t, found, model)) for t, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(values, pa.list_(pa.string()))], names=["k", "values"])
 
-    split = _with_counts(source, facts).mapInArrow(cut, "k string, `values` array<string>")
+    split = _with_counts(source, facts, model.total).mapInArrow(cut, "k string, `values` array<string>")
     result = split.select(F.col("k").cast(dict(df.dtypes)[key]).alias(key), F.posexplode("values").alias("pos", out))
     return result.select(key, (F.col("pos") + 1).cast("int").alias("pos"), out).distinct()
 
@@ -481,9 +490,8 @@ def _values(text: str, found: list[dict], model: Model) -> Iterator[str]:
             yield from best_path(segment, hard, model, counts)[0]
 
 
-def _with_counts(source: DataFrame, facts: DataFrame) -> DataFrame:
+def _with_counts(source: DataFrame, facts: DataFrame, total: float) -> DataFrame:
     """k, t, found of every field: the counts of the values that its lattices hold, but for those that the model knows from memory."""
-    total = facts.where("what = 'end'").agg(F.sum("n")).first()[0] or 0
     least = max(2, total // RARE)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
