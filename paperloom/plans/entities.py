@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import dates as D
 from paperloom.functions import text as T, wording as W
-from paperloom.plans.scalars import _LINES, TERMS_SQL, documents, lines
+from paperloom.plans.scalars import _LINES, _S, TERMS_SQL, documents, lines
 from paperloom.plans.wording import _LOOSE, _WHOLE
 from paperloom.session import table
 
@@ -112,9 +112,9 @@ def stated_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_lines_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 14 lines of a document that state a date, at most 150 characters each."""
+    """The first 14 different lines of a document that state a date, at most 150 characters each."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    dated = lines(spark, sf_dir).where(F.size(D.stated_dates(F.col("line"))) > 0)
+    dated = lines(spark, sf_dir).where(F.size(D.stated_dates(F.col("line"))) > 0).groupBy("doc_id", T.strip(F.col("line")).alias("line")).agg(F.min("line_no").alias("line_no"))
     return dated.withColumn("k", F.row_number().over(w)).where("k <= 14").select("doc_id", "line_no", F.substring("line", 1, 150).alias("line"))
 
 
@@ -133,5 +133,5 @@ ORACLE_SQL = {n: f"SELECT doc_id, line_no, {sql} AS value FROM {_LINES}" for n,
     "date_support": f"WITH {_R}, {_T} SELECT message_id, document_date, len(list_filter({_SPELLED}, lambda s: contains(t, s))) > 0 AS supported FROM r JOIN t USING (doc_id) WHERE try_cast(document_date AS DATE) IS NOT NULL",
     "type_support": f"WITH {_R}, {_T}, a AS (SELECT message_id, doc_id, document_type, list_distinct({TERMS_SQL.format('document_type')}) AS w FROM r WHERE document_type IS NOT NULL) SELECT message_id, document_type, len(list_intersect(w, {TERMS_SQL.format('t')})) * 10 >= len(w) * 6 AS supported FROM a JOIN t USING (doc_id) WHERE len(w) > 0",
     "stated_by_document": f"WITH s AS (SELECT doc_id, unnest(list_distinct({STATED_SQL.format('line')})) AS iso FROM {_LINES}) SELECT doc_id, iso, count(*) AS n FROM s GROUP BY ALL",
-    "date_lines_top": f"SELECT doc_id, line_no, substring(line, 1, 150) AS line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM {_LINES} WHERE len({STATED_SQL.format('line')}) > 0) WHERE k <= 14",
+    "date_lines_top": f"SELECT doc_id, line_no, substring(line, 1, 150) AS line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM (SELECT doc_id, {_S} AS line, min(line_no) AS line_no FROM {_LINES} WHERE len({STATED_SQL.format('line')}) > 0 GROUP BY ALL)) WHERE k <= 14",
 }
