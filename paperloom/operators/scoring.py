@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import wording as W
+from paperloom.operators import simhash
 
 #: Words of a type that carry no meaning; quotation marks that count as plain ones (fixed values).
 UNMEANT = ["the", "and", "for", "with"]
@@ -125,3 +126,46 @@ def searched(df: DataFrame, columns: list[str], query: str) -> DataFrame:
     for c in columns:
         hit = hit | F.coalesce(F.lower(F.col(c)).contains(query.strip().lower()), F.lit(False))
     return df.where(hit)
+
+
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows but those of the keys that are gone; rows without a key stay."""
+    return df.join(gone.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+
+
+def orphans(claims: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """Claims whose item isn't there."""
+    return claims.join(items.select(key).distinct(), key, "left_anti")
+
+
+def filed_by_hash(files: DataFrame, filed: DataFrame, key: str, content: str) -> DataFrame:
+    """key and ``marker``: what was filed with the same content; hashes that aren't 32 to 128 small hexadecimal digits find nothing."""
+    valid = F.when(F.col(content).rlike("^[0-9a-f]{32,128}$"), F.col(content))
+    markers = filed.groupBy(content).agg(F.min("marker").alias("marker"))
+    return files.select(key, valid.alias(content)).join(markers, content, "left").select(key, "marker")
+
+
+def nearest_filed(prints: DataFrame, filed: DataFrame, id_col: str, within: int = 6) -> DataFrame:
+    """id, marker, distance: the nearest filed fingerprint within a distance; the least marker wins where several are as near."""
+    own = prints.where("fingerprint IS NOT NULL").select(id_col, "fingerprint")
+    markers = filed.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("marker").alias("marker"))
+    both = own.select(F.lit(None).cast("string").alias("k"), "fingerprint").unionByName(markers.select(F.lit(None).cast("string").alias("k"), "fingerprint"))
+    pairs = simhash.near_classes(both, "k", within)
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("fingerprint_a").alias("a"), F.col("fingerprint_b").alias("b")), F.struct(F.col("fingerprint_b").alias("a"), F.col("fingerprint_a").alias("b")))).alias("e"), "distance").select("e.*", "distance")
+    near = ends.unionByName(markers.select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b"), F.lit(0).alias("distance")))
+    found = near.join(markers.withColumnRenamed("fingerprint", "b"), "b").groupBy("a").agg(F.min(F.struct("distance", "marker")).alias("best"))
+    return own.join(found.withColumnRenamed("a", "fingerprint"), "fingerprint").select(id_col, "best.marker", "best.distance")
+
+
+def flattened(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """keys, metric, value: one row for each figure that a row has."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    return df.select(*keys, F.explode(pairs).alias("p")).where("p.value IS NOT NULL").select(*keys, "p.metric", "p.value")
+
+
+def present(seen: DataFrame, key: str, at: str, seconds: int = 600) -> DataFrame:
+    """key, last, active: when each was last seen, and whether that is no longer than some seconds before the newest of all."""
+    last = seen.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(at).alias("last"))
+    newest = F.broadcast(last.agg(F.max("last").alias("newest")))  # one row
+    age = F.unix_timestamp(F.col("newest").cast("timestamp")) - F.unix_timestamp(F.col("last").cast("timestamp"))
+    return last.crossJoin(newest).select(key, "last", (age <= seconds).alias("active"))

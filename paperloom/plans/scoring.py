@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import scoring as C
+from paperloom.operators import scoring as C, simhash
 from paperloom.plans.scalars import _LINES, lines
-from paperloom.session import table
+from paperloom.session import spread, table
 
 _FIX = "(SELECT DISTINCT fixture_id, document_type, acceptable_types, parties, forbidden_parties FROM expected_fixture)"
 _CON = "(SELECT contract_id, min(sha256) AS sha256, min(source_path) AS source_path, min(document_name) AS document_name FROM sample_contract GROUP BY contract_id)"
@@ -105,13 +105,54 @@ def merge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.agg(F.count(F.when(F.col("turn") == 2, 1)).alias("replaced"), F.count(F.when(F.coalesce(F.col("turn") != 2, F.lit(True)), 1)).alias("kept"))
 
 
+def set_without_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages but those of truncated documents."""
+    messages = table(spark, sf_dir, "chat_message").select("message_id", "doc_id").distinct()
+    return C.without(messages, table(spark, sf_dir, "worker_document").where("truncated"), "doc_id").select("message_id", "doc_id")
+
+
+def set_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules whose type no fixture has."""
+    rules = table(spark, sf_dir, "house_rules").where("kind = 'type' AND to_value IS NOT NULL").select("id", F.col("to_value").alias("document_type")).distinct()
+    return C.orphans(rules, table(spark, sf_dir, "expected_fixture").where("document_type IS NOT NULL"), "document_type").select("id", "document_type")
+
+
+def filed_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract that was first filed with the content of each contract."""
+    own = _contracts(spark, sf_dir)
+    return C.filed_by_hash(own, own.select("sha256", F.col("contract_id").alias("marker")), "contract_id", "sha256")
+
+
+def nearest_filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document from the web, the nearest one of the others."""
+    papers = spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "text")
+    prints = [simhash.fingerprints(papers.where(f"coalesce(source, '') {op} 'web-capture'"), "doc_id", "text") for op in ("=", "<>")]
+    return C.nearest_filed(prints[0], prints[1].withColumnRenamed("doc_id", "marker"), "doc_id")
+
+
+def flattened_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of pages, one row each."""
+    figures = "chars segments image_coverage replacement invisible garbage column_count overlap".split()
+    return C.flattened(table(spark, sf_dir, "page_signal").select("doc_id", "page", *figures).distinct(), ["doc_id", "page"], figures)
+
+
+def present_machines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each machine last read a line, and whether it is active."""
+    return C.present(table(spark, sf_dir, "layout_line"), "machine_id", "read_at")
+
+
+def history_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many purchases and sign-ups belong to a user."""
+    return table(spark, sf_dir, "events").where("user_id IS NOT NULL AND event_type IN ('purchase', 'signup')").agg(F.count("*").alias("n"))
+
+
 _PLAIN = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 _FITS = f"({_PLAIN.format('x')} <> '' AND {_PLAIN.format('y')} <> '' AND (contains({_PLAIN.format('x')}, {_PLAIN.format('y')}) OR contains({_PLAIN.format('y')}, {_PLAIN.format('x')})))"
 _KEY = "lower(trim(regexp_replace(regexp_replace(x, '[^\\p{L}\\p{N} ]', '', 'g'), ' +', ' ', 'g')))"
 
 QUERIES = {f.__name__: f for f in (
     score_types, score_parties, score_comparable, score_moved, score_reduction, score_citations, newest_receipts, first_spelled_parties, staged_copies, ranked_machines,
-    path_overlaps, searched_contracts, merge_summary,
+    path_overlaps, searched_contracts, merge_summary, set_without_items, set_orphans, filed_by_hash, nearest_filed, flattened_signals, present_machines, history_count,
 )}
 ORACLE_SQL = {
     "score_types": f"""SELECT fixture_id, actual, len(list_filter(regexp_split_to_array(lower(document_type), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'with') AND NOT contains(lower(actual), w))) = 0 AS fits
@@ -138,5 +179,11 @@ ORACLE_SQL = {
     "path_overlaps": f"""WITH p AS (SELECT contract_id, regexp_replace(lower(source_path), '/+$', '') || '/' AS x, lower(split_part(source_path, '/', 1)) || '/' AS y FROM {_CON})
         SELECT contract_id, starts_with(x, y) OR starts_with(y, x) AS own, starts_with(x, 'finance/') OR starts_with('finance/', x) AS other FROM p""",
     "searched_contracts": f"SELECT contract_id FROM {_CON} WHERE contains(lower(document_name), 'lease') OR contains(lower(source_path), 'lease')",
+    "set_without_items": "SELECT DISTINCT message_id, doc_id FROM chat_message m WHERE NOT EXISTS (SELECT 1 FROM worker_document w WHERE w.truncated AND w.doc_id = m.doc_id)",
+    "set_orphans": "SELECT DISTINCT id, to_value AS document_type FROM house_rules r WHERE kind = 'type' AND to_value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM expected_fixture f WHERE f.document_type = r.to_value)",
+    "filed_by_hash": f"SELECT c.contract_id, m.marker FROM {_CON} c LEFT JOIN (SELECT sha256, min(contract_id) AS marker FROM {_CON} GROUP BY sha256) m ON m.sha256 = c.sha256 AND regexp_full_match(c.sha256, '[0-9a-f]{{32,128}}')",
+    "flattened_signals": "SELECT doc_id, page, metric, value FROM (SELECT DISTINCT doc_id, page, chars::DOUBLE AS chars, segments::DOUBLE AS segments, image_coverage::DOUBLE AS image_coverage, replacement::DOUBLE AS replacement, invisible::DOUBLE AS invisible, garbage::DOUBLE AS garbage, column_count::DOUBLE AS column_count, overlap::DOUBLE AS overlap FROM page_signal) UNPIVOT (value FOR metric IN (chars, segments, image_coverage, replacement, invisible, garbage, column_count, overlap))",
+    "present_machines": "SELECT machine_id, last, epoch((SELECT max(read_at) FROM layout_line WHERE machine_id IS NOT NULL))::BIGINT - epoch(last)::BIGINT <= 600 AS active FROM (SELECT machine_id, max(read_at) AS last FROM layout_line WHERE machine_id IS NOT NULL GROUP BY machine_id)",
+    "history_count": "SELECT count(*) AS n FROM events WHERE user_id IS NOT NULL AND event_type IN ('purchase', 'signup')",
     "merge_summary": "SELECT count(*) FILTER (WHERE turn = 2) AS replaced, count(*) FILTER (WHERE turn IS DISTINCT FROM 2) AS kept FROM (SELECT DISTINCT message_id, turn FROM chat_message)",
 }

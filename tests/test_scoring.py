@@ -48,3 +48,18 @@ def test_lists_and_lookups(spark):
     assert names == [(["Acme Ltd", "Bode"],)]
     cited, known = spark.createDataFrame([(1, "p1"), (1, "p2"), (2, "p9")], "m int, b string"), spark.createDataFrame([("p1",), ("p2",), ("p2",)], "b string")
     assert {r.m: (r.cited, r.unknown, r.rate) for r in C.citation_scores(cited, known, "m", ["b"]).collect()} == {1: (2, 0, 1.0), 2: (1, 1, 0.0)}
+
+
+def test_nearest_filed_and_lookups(spark):
+    prints = spark.createDataFrame([(1, 0), (2, 7), (3, -1), (4, None)], "id int, fingerprint bigint")
+    filed = spark.createDataFrame([("b", 0), ("a", 0), ("c", 1), ("d", 15)], "marker string, fingerprint bigint")
+    assert sorted(map(tuple, C.nearest_filed(prints, filed, "id").collect())) == [(1, "a", 0), (2, "d", 1)]
+    h = "a" * 64
+    files, old = spark.createDataFrame([(1, h), (2, "b" * 64), (3, "xyz"), (4, None)], "id int, h string"), spark.createDataFrame([(h, "m2"), (h, "m1"), ("xyz", "m3")], "h string, marker string")
+    assert {r.id: r.marker for r in C.filed_by_hash(files, old, "id", "h").collect()} == {1: "m1", 2: None, 3: None, 4: None}
+    assert sorted(r.id for r in C.without(files, files.where("id IN (1, 4)"), "h").collect()) == [2, 3, 4]
+    assert sorted(r.id for r in C.orphans(files, old, "h").collect()) == [2, 4]
+    wide = spark.createDataFrame([(1, 2, None), (2, 3, 4.5)], "id int, a int, b double")
+    assert sorted(map(tuple, C.flattened(wide, ["id"], ["a", "b"]).collect())) == [(1, "a", 2.0), (2, "a", 3.0), (2, "b", 4.5)]
+    seen = spark.createDataFrame([("x", 0), ("x", 1000), ("y", 400), ("z", 399), (None, 5000)], "m string, s bigint").selectExpr("m", "timestamp_seconds(s) AS at")
+    assert {r.m: r.active for r in C.present(seen, "m", "at").collect()} == {"x": True, "y": True, "z": False}
