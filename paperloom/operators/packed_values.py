@@ -439,10 +439,11 @@ def split_values(df: DataFrame, key: str, packed: str, rounds: int = ROUNDS, out
         return checkpointed(facts.groupBy("what", "key").agg(F.sum("n").alias("n")))
 
     facts = summed(source.select("t").mapInArrow(lambda it: _counted(it, _initial), _FACTS))
+    wanted = checkpointed(_wanted(source))
     before = None
     for _ in range(rounds):
         model = _model_of(facts)
-        expected = _with_counts(source, facts, model.total).mapInArrow(lambda it, model=model: _counted(it, lambda _, t, found: _expected(t, found, model)), _FACTS)
+        expected = _with_counts(wanted, facts, model.total).mapInArrow(lambda it, model=model: _counted(it, lambda _, t, found: _expected(t, found, model)), _FACTS)
         facts = summed(expected)
         likelihood = facts.where("what = 'likelihood'").agg(F.sum("n")).first()[0] or 0.0
         if before is not None and likelihood - before < SETTLED * abs(before):
@@ -455,7 +456,7 @@ def split_values(df: DataFrame, key: str, packed: str, rounds: int = ROUNDS, out
             values = [list(_values(t, found, model)) for t, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(values, pa.list_(pa.string()))], names=["k", "values"])
 
-    split = _with_counts(source, facts, model.total).mapInArrow(cut, "k string, `values` array<string>")
+    split = _with_counts(wanted, facts, model.total).mapInArrow(cut, "k string, `values` array<string>")
     result = split.select(F.col("k").cast(dict(df.dtypes)[key]).alias(key), F.posexplode("values").alias("pos", out))
     return result.select(key, (F.col("pos") + 1).cast("int").alias("pos"), out).distinct()
 
@@ -490,10 +491,8 @@ def _values(text: str, found: list[dict], model: Model) -> Iterator[str]:
             yield from best_path(segment, hard, model, counts)[0]
 
 
-def _with_counts(source: DataFrame, facts: DataFrame, total: float) -> DataFrame:
-    """k, t, found of every field: the counts of the values that its lattices hold, but for those that the model knows from memory."""
-    least = max(2, total // RARE)
-
+def _wanted(source: DataFrame) -> DataFrame:
+    """k, h, t, v: each field once with its text, and once with each value that its lattices hold."""
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ks, hs, ts, vs = [], [], [], []
@@ -509,11 +508,16 @@ def _with_counts(source: DataFrame, facts: DataFrame, total: float) -> DataFrame
                 vs += [None, *wanted]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (ks, hs, ts, vs)], names=["k", "h", "t", "v"])
 
+    return source.mapInArrow(candidates, "k string, h string, t string, v string")
+
+
+def _with_counts(wanted: DataFrame, facts: DataFrame, total: float) -> DataFrame:
+    """k, t, found of every field: the counts of the values that its lattices hold, but for those that the model knows from memory."""
+    least = max(2, total // RARE)
     values = facts.where("what = 'value'").select(F.col("key").alias("v"), "n")
     counts = values.where((F.col("n") > 1) & (F.col("n") < least))
     # values known from memory would be hot keys, as would rows without a candidate: they aren't joined
     hot = values.where(F.col("n") >= least).select("v")
-    wanted = source.mapInArrow(candidates, "k string, h string, t string, v string")
     cold = wanted.where("v IS NOT NULL").join(F.broadcast(hot), "v", "left_anti")
     known = cold.join(counts, "v").select("k", "h", "t", F.struct("v", "n").alias("found"))
     kept = wanted.where("v IS NULL").select("k", "h", "t", F.lit(None).cast("struct<v:string,n:double>").alias("found"))
